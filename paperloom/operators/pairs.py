@@ -48,7 +48,8 @@ def frequent_count(frequent: DataFrame) -> DataFrame:
 
 
 def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFrame:
-    """Edges whose ``key`` is (left_semi) or is not (left_anti) in ``listed``.
+    """Edges whose ``key`` is in ``listed`` (left_semi; inner adds the list's columns) or
+    is not in it (left_anti).
 
     One name or one paper may own a large share of the edges, so a key's edges are dealt
     over ``PIECES`` join keys by their other column, and the list is repeated that often.
@@ -60,7 +61,7 @@ def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFra
     pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
     return (
         edges.withColumn("_piece", piece)
-        .join(listed.select(key, pieces.alias("_piece")), [key, "_piece"], how)
+        .join(listed.select("*", pieces.alias("_piece")), [key, "_piece"], how)
         .drop("_piece")
     )
 
@@ -107,15 +108,15 @@ def co_mentions(
         pairs = _pair_up(kept)
     else:
         narrow_pairs = _pair_up(_members(kept, wide, "paperId", "left_anti"))
-        wide_edges = stage(_members(kept, wide, "paperId", "left_semi"), "wide-edges")
-        pairs = _with_wide_papers(narrow_pairs, wide_edges, wide, n_wide, pair_support)
+        wide_edges = stage(_members(kept, wide, "paperId", "inner"), "wide-edges")
+        pairs = _with_wide_papers(narrow_pairs, wide_edges, n_wide, pair_support)
     return pairs.where(F.col("n") >= pair_support).select(
         "s1", "s2", F.col("n").alias("n_papers")
     )
 
 
 def _with_wide_papers(
-    narrow_pairs: DataFrame, wide_edges: DataFrame, wide: DataFrame, n_wide: int, support: int
+    narrow_pairs: DataFrame, wide_edges: DataFrame, n_wide: int, support: int
 ) -> DataFrame:
     """Add to each narrow count the wide papers that hold the pair, where it can matter.
 
@@ -129,53 +130,57 @@ def _with_wide_papers(
        that is far wider than the others pairs nothing. With fewer than ``support`` wide
        papers in all, there is nothing to do.
 
-    The candidates are then counted by looking each one's papers up.
+    The candidates are then counted by looking up the papers of the rarer member.
     """
-    narrow_pairs = stage(narrow_pairs, "narrow-pairs")
-    per_name = stage(
-        wide_edges.groupBy("softwareId").agg(F.count("*").alias("n_wide")), "wide-names"
-    )
-    first = per_name.select(F.col("softwareId").alias("s1"), F.col("n_wide").alias("w1"))
-    second = per_name.select(F.col("softwareId").alias("s2"), F.col("n_wide").alias("w2"))
-    bound = F.coalesce(F.least("w1", "w2"), F.lit(0))
-    either = (
-        narrow_pairs.join(first, "s1", "left")
-        .join(second, "s2", "left")
-        .withColumn("most", F.when(F.col("w1").isNull() | F.col("w2").isNull(), 0).otherwise(bound))
-        .where(F.col("n") + F.col("most") >= support)
-    )
-    settled = either.where("most = 0").select("s1", "s2", "n")
-    open_pairs = either.where("most > 0").select("s1", "s2", "n")
-
+    per_name = stage(papers_per_software(wide_edges), "wide-names")
+    candidates = narrow_pairs
     if n_wide >= support:
-        often = per_name.where(F.col("n_wide") >= support)
+        often = min_support(per_name, support)
+        eligible = _members(wide_edges, often.select("softwareId"), "softwareId", "left_semi")
         widest_first = Window.partitionBy("softwareId").orderBy(F.desc("degree"), "paperId")
-        # Only the top of each name's list is ranked, so tasks shuffle at most
-        # support - 1 rows per name for it.
-        ranked = (
-            _members(wide_edges, often, "softwareId", "left_semi")
-            .join(wide, "paperId")
-            .withColumn("rank", F.row_number().over(widest_first))
+        # only the top of each name's list is ranked: Spark cuts every task's rows to
+        # support - 1 per name before the shuffle
+        passed_over = (
+            eligible.withColumn("place", F.row_number().over(widest_first))
+            .where(F.col("place") < support)
+            .select("paperId", "softwareId")
         )
-        passed_over = ranked.where(F.col("rank") < support).select("paperId", "softwareId")
-        remaining = _members(wide_edges, often, "softwareId", "left_semi").join(
-            passed_over, ["paperId", "softwareId"], "left_anti"
-        )
-        found = _pair_up(remaining).select("s1", "s2")
-        only_wide = found.join(narrow_pairs, ["s1", "s2"], "left_anti")
-        open_pairs = open_pairs.unionByName(only_wide.withColumn("n", F.lit(0).cast("long")))
-
-    open_pairs = stage(open_pairs, "open-pairs")
-    left = wide_edges.select("paperId", F.col("softwareId").alias("s1"))
-    right = wide_edges.select("paperId", F.col("softwareId").alias("s2"))
+        remaining = eligible.join(passed_over, ["paperId", "softwareId"], "left_anti")
+        only_wide = _pair_up(remaining).select("s1", "s2", F.lit(0).cast("long").alias("n"))
+        candidates = narrow_pairs.unionByName(only_wide).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
+
+    first = per_name.select(F.col("softwareId").alias("s1"), F.col("n_papers").alias("w1"))
+    second = per_name.select(F.col("softwareId").alias("s2"), F.col("n_papers").alias("w2"))
+    can_add = F.coalesce(F.least("w1", "w2"), F.lit(0))
+    in_both = F.col("w1").isNotNull() & F.col("w2").isNotNull()
+    rarer_first = F.col("w1") <= F.col("w2")
+    hopeful = stage(
+        candidates.join(first, "s1", "left")
+        .join(second, "s2", "left")
+        .withColumn("most", F.when(in_both, can_add).otherwise(0))
+        .where(F.col("n") + F.col("most") >= support)
+        .select(
+            "s1",
+            "s2",
+            "n",
+            "most",
+            F.when(rarer_first, F.col("s1")).otherwise(F.col("s2")).alias("rarer"),
+            F.when(rarer_first, F.col("s2")).otherwise(F.col("s1")).alias("other"),
+        ),
+        "hopeful-pairs",
+    )
+    of_rarer = wide_edges.select("paperId", F.col("softwareId").alias("rarer"))
+    of_other = wide_edges.select("paperId", F.col("softwareId").alias("other"))
     in_wide = (
-        open_pairs.join(left, "s1")
-        .join(right, ["paperId", "s2"], "left_semi")
+        hopeful.where("most > 0")
+        .select("s1", "s2", "rarer", "other")
+        .join(of_rarer, "rarer")
+        .join(of_other, ["paperId", "other"], "left_semi")
         .groupBy("s1", "s2")
         .agg(F.count("*").alias("n"))
     )
     return (
-        settled.unionByName(open_pairs)
+        hopeful.select("s1", "s2", "n")
         .unionByName(in_wide)
         .groupBy("s1", "s2")
         .agg(F.sum("n").alias("n"))

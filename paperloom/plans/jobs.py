@@ -23,13 +23,13 @@ def compact(
 
 def pending(spark: SparkSession, root: str, merged: str) -> DataFrame:
     """Source files that compaction has not taken in yet."""
-    source = documents.scan_documents(spark, root).drop("body")
+    source = documents.list_documents(spark, root)
     return maintenance.pending_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
 
 
 def processed(spark: SparkSession, root: str, merged: str) -> DataFrame:
     """Source files that may be removed, as their content is in the merged output."""
-    source = documents.scan_documents(spark, root).drop("body")
+    source = documents.list_documents(spark, root)
     return maintenance.processed_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
 
 
@@ -74,7 +74,7 @@ def count_mentions(
 
 def convert_mentions(spark: SparkSession, root: str, out: str, counts: str | None = None) -> None:
     """Tree of mention documents to one record per document, and raw counts if asked for."""
-    found = documents.scan_documents_by_suffix(spark, root)
+    found = documents.scan_mention_files(spark, root)
     sinks.write_paper_mentions(mentions.mentions_per_paper(typed.decode_mentions(found, strict=True)), out)
     if counts:
         named = typed.read_paper_mentions(spark, out).select(
@@ -100,7 +100,7 @@ def count_licences(spark: SparkSession, path: str) -> DataFrame:
 
 def sort_jsonl(spark: SparkSession, source, out: str, on_duplicate: str = "keep") -> None:
     """JSON lines to gzip JSON lines ordered by the UUID in ``file``."""
-    rows = documents.scan_jsonl(spark, source).withColumn("file", F.get_json_object("body", "$.file"))
+    rows = documents.scan_jsonl(spark, source).withColumn("file", documents.file_key(F.col("body")))
     sinks.write_sorted_jsonl(
         ordering.sort_by_uuid(rows, on_duplicate=on_duplicate, strict=True), out
     )

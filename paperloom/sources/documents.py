@@ -26,10 +26,26 @@ def scan_documents(
     kinds: Iterable[str] | None = None,
     shards: Iterable[str] | None = None,
 ) -> DataFrame:
-    """One JSON object per file below ``root/<shard>/``: (shard, file, kind, paper_id, body).
+    """One JSON object per file below ``root/<shard>/``: (shard, file, kind, paper_id, body),
+    for files whose name is that of a known kind.
+    """
+    docs = scan_tree(spark, root, shards).where(F.col("kind").isNotNull())
+    return docs if kinds is None else docs.where(F.col("kind").isin(list(kinds)))
+
+
+def scan_mention_files(
+    spark: SparkSession, root: str, shards: Iterable[str] | None = None
+) -> DataFrame:
+    """The same for all names ending ``.software.json`` that start with 36 characters."""
+    name = F.col("file")
+    return scan_tree(spark, root, shards).where(files.is_mention_file(name) & files.has_id_length(name))
 
-    Names are filtered before any file is opened. ``shards`` lists only those directories,
-    which bounds the file listing of one run over a tree with billions of files.
+
+def scan_tree(spark: SparkSession, root: str, shards: Iterable[str] | None = None) -> DataFrame:
+    """Every ``.json`` file below ``root``, one row per file; ``kind`` is NULL for other names.
+
+    ``shards`` lists only those directories, which bounds the file listing of one run over
+    a tree with billions of files.
     """
     base = root.rstrip("/")
     paths = [f"{base}/{name}" for name in shards] if shards is not None else [root]
@@ -40,20 +56,34 @@ def scan_documents(
         .option("pathGlobFilter", "*.json")
         .load(paths)
     )
-    return described(raw, root, kinds)
+    return described(raw, root)
+
+
+def list_documents(spark: SparkSession, root: str) -> DataFrame:
+    """``scan_documents`` without the bodies: a listing that opens no file."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json")
+        .load(root)
+    )
+    return (
+        described(listed.withColumn("value", F.lit("")), root)
+        .where(F.col("kind").isNotNull())
+        .drop("body")
+    )
 
 
-def described(raw: DataFrame, root: str, kinds: Iterable[str] | None = None) -> DataFrame:
+def described(raw: DataFrame, root: str) -> DataFrame:
     """Name columns for a whole-file text scan, batch or stream."""
     name = F.col("_metadata.file_name")
-    docs = raw.select(
+    return raw.select(
         files.shard(F.col("_metadata.file_path"), root).alias("shard"),
         name.alias("file"),
         files.classify_kind(name).alias("kind"),
         files.paper_id(name).alias("paper_id"),
         F.col("value").alias("body"),
-    ).where(F.col("kind").isNotNull())
-    return docs if kinds is None else docs.where(F.col("kind").isin(list(kinds)))
+    )
 
 
 def scan_jsonl(spark: SparkSession, path, spread: int | None = None, **options) -> DataFrame:
@@ -156,17 +186,21 @@ def decode(docs: DataFrame, ddl: str, strict: bool = False) -> DataFrame:
     """Typed projection of ``body``: the columns of ``ddl`` plus ``bad_body``.
 
     ``bad_body`` is NULL for a good row and the text otherwise; ``strict`` raises instead.
+    A column that ``docs`` has already, such as the ``file`` of a tree scan, stays as it is.
     """
     if strict:
         record = F.from_json("body", ddl, {"mode": "FAILFAST"})
         bad: Column = F.lit(None).cast("string")
     else:
-        record = F.from_json(
-            "body", ddl + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"}
-        )
+        record = F.from_json("body", ddl + ", _bad STRING", {"columnNameOfCorruptRecord": "_bad"})
         bad = F.when(F.col("_record").isNull(), F.col("body")).otherwise(F.col("_record._bad"))
-    names = T.StructType.fromDDL(ddl).fieldNames()
-    keep = [c for c in docs.columns if c not in (*names, "body", "doc")]
+    keep = [c for c in docs.columns if c not in ("body", "doc")]
+    names = [n for n in T.StructType.fromDDL(ddl).fieldNames() if n not in keep]
     return docs.withColumn("_record", record).select(
         *keep, *[F.col("_record")[n].alias(n) for n in names], bad.alias("bad_body")
     )
+
+
+def file_key(body: Column) -> Column:
+    """The value of the key ``file`` in a JSON object's text."""
+    return F.from_json(body, "file STRING")["file"]
