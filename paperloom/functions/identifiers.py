@@ -1,7 +1,7 @@
 """Codecs for paper identifiers, resources and licences.
 
-Parsers give NULL both for a missing value and for a bad one; ``*_bad`` tells them apart.
-A missing string is ``''`` or NULL.
+Parsers give NULL both for a missing value (``''`` or NULL) and for a bad one; ``present``
+tells them apart.
 """
 
 from __future__ import annotations
@@ -37,10 +37,6 @@ def bytes_to_uuid(b: Column) -> Column:
     return F.when(F.length(b) == 16, F.concat_ws("-", *parts))
 
 
-def uuid_bad(s: Column) -> Column:
-    return uuid_to_bytes(F.coalesce(s, F.lit(""))).isNull()
-
-
 # --- PubMed numbers -------------------------------------------------------------------
 
 
@@ -58,10 +54,6 @@ def format_pmid(n: Column) -> Column:
     return F.coalesce(n.cast("string"), F.lit(""))
 
 
-def pmid_bad(s: Column) -> Column:
-    return present(s) & parse_pmid(s).isNull()
-
-
 def parse_pmcid(s: Column) -> Column:
     """The number after the first three characters, which are not checked."""
     return F.when(present(s), _number(F.substr(s, F.lit(4))))
@@ -71,10 +63,6 @@ def format_pmcid(n: Column) -> Column:
     return F.coalesce(F.concat(F.lit("PMC"), n.cast("string")), F.lit(""))
 
 
-def pmcid_bad(s: Column) -> Column:
-    return present(s) & parse_pmcid(s).isNull()
-
-
 # --- ISTEX ----------------------------------------------------------------------------
 
 
@@ -86,10 +74,6 @@ def format_istex(b: Column) -> Column:
     return F.coalesce(F.hex(b), F.lit(""))
 
 
-def istex_bad(s: Column) -> Column:
-    return present(s) & parse_istex(s).isNull()
-
-
 # --- resources ---------------------------------------------------------------------------
 
 
@@ -107,10 +91,6 @@ def resource_names(codes: Column) -> Column:
     return F.transform(codes, lambda code: F.try_element_at(names, code))
 
 
-def resources_bad(names: Column) -> Column:
-    return F.exists(resource_codes(names), lambda code: code.isNull())
-
-
 # --- licences ---------------------------------------------------------------------------
 
 
@@ -123,7 +103,3 @@ def licence_code(spelling: Column) -> Column:
 
 def licence_label(code: Column) -> Column:
     return F.try_element_at(literal_map({code: label for code, label, _ in LICENCES}), code)
-
-
-def licence_bad(spelling: Column) -> Column:
-    return licence_code(spelling).isNull()

@@ -6,49 +6,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import identifiers as ids
+from paperloom.functions.once import once
 
 FIELDS = ("id", "doi", "arxiv", "pmid", "pmcid", "istexId", "resources", "license", "oa_link")
 
 
-def _failing_fields():
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Add ``stored``, the record in stored form, and ``errors``, the fields that have none."""
     c = F.col
-    checks = {
-        "id": ids.uuid_bad(c("id")),
-        "pmid": ids.pmid_bad(c("pmid")),
-        "pmcid": ids.pmcid_bad(c("pmcid")),
-        "istexId": ids.istex_bad(c("istexId")),
-        "resources": ids.resources_bad(c("resources")),
-        "license": ids.licence_bad(c("license")),
+
+    def text(name):
+        return F.coalesce(c(name), F.lit(""))
+
+    record = F.struct(
+        ids.uuid_to_bytes(text("id")).alias("id"),
+        text("doi").alias("doi"),
+        text("arxiv").alias("arxiv"),
+        ids.parse_pmid(c("pmid")).alias("pmid"),
+        ids.parse_pmcid(c("pmcid")).alias("pmcid"),
+        ids.parse_istex(c("istexId")).alias("istex_id"),
+        ids.resource_codes(c("resources")).alias("resources"),
+        ids.licence_code(c("license")).alias("license"),
+        text("oa_link").alias("oa_link"),
+    )
+    failing = {
+        "id": c("stored.id").isNull(),
+        "pmid": ids.present(c("pmid")) & c("stored.pmid").isNull(),
+        "pmcid": ids.present(c("pmcid")) & c("stored.pmcid").isNull(),
+        "istexId": ids.present(c("istexId")) & c("stored.istex_id").isNull(),
+        "resources": F.exists("stored.resources", lambda code: code.isNull()),
+        "license": c("stored.license").isNull(),
     }
-    named = F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()])
-    return F.array_compact(named)
+    errors = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in failing.items()]))
+    return once(once(rows, stored=record), errors=errors)
 
 
 def paper_id_errors(rows: DataFrame) -> DataFrame:
     """Rows that cannot be stored, with ``errors`` naming every failing field."""
-    return rows.withColumn("errors", _failing_fields()).where(F.size("errors") > 0)
+    return _parsed(rows).where(F.size("errors") > 0).drop("stored")
 
 
 def normalise_paper_ids(rows: DataFrame, strict: bool = False) -> DataFrame:
     """The stored form of every good row; ``strict`` raises at the first bad one."""
-    checked = rows.withColumn("errors", _failing_fields())
+    return _good(rows, strict).select("stored.*")
+
+
+def _good(rows: DataFrame, strict: bool = False) -> DataFrame:
+    good = F.size("errors") == 0
     if strict:
-        message = F.concat(F.lit("bad fields: "), F.array_join("errors", ","), F.lit(" in "), F.coalesce("id", F.lit("")))
-        good = F.when(F.size("errors") > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    else:
-        good = F.size("errors") == 0
-    c = F.col
-    return checked.where(good).select(
-        ids.uuid_to_bytes(c("id")).alias("id"),
-        F.coalesce("doi", F.lit("")).alias("doi"),
-        F.coalesce("arxiv", F.lit("")).alias("arxiv"),
-        ids.parse_pmid(c("pmid")).alias("pmid"),
-        ids.parse_pmcid(c("pmcid")).alias("pmcid"),
-        ids.parse_istex(c("istexId")).alias("istex_id"),
-        ids.resource_codes(c("resources")).alias("resources"),
-        ids.licence_code(c("license")).alias("license"),
-        F.coalesce("oa_link", F.lit("")).alias("oa_link"),
-    )
+        message = F.concat_ws(" ", F.lit("bad fields:"), F.array_join("errors", ","), F.lit("in"), "id")
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return _parsed(rows).where(good)
 
 
 def denormalise_paper_ids(stored: DataFrame) -> DataFrame:
@@ -77,36 +85,31 @@ def roundtrip_mismatches(rows: DataFrame) -> DataFrame:
     Licences are compared by code, so two spellings of one licence are equal; a missing
     list equals an empty one.
     """
-    c = F.col
-
     def text(name):
-        return F.coalesce(c(name), F.lit(""))
+        return F.coalesce(F.col(name), F.lit(""))
+
+    def stored(name):
+        return F.col("stored")[name]
 
+    label = ids.licence_label(stored("license"))
     names = F.coalesce("resources", F.array().cast("array<string>"))
-    rebuilt = {
-        "id": (text("id"), ids.bytes_to_uuid(ids.uuid_to_bytes(c("id")))),
-        "pmid": (text("pmid"), ids.format_pmid(ids.parse_pmid(c("pmid")))),
-        "pmcid": (text("pmcid"), ids.format_pmcid(ids.parse_pmcid(c("pmcid")))),
-        "istexId": (text("istexId"), ids.format_istex(ids.parse_istex(c("istexId")))),
-        "resources": (
-            F.array_join(names, ","),
-            F.array_join(ids.resource_names(ids.resource_codes(names)), ","),
-        ),
+    rebuilt_names = ids.resource_names(stored("resources"))
+    pairs = {
+        "id": (text("id"), ids.bytes_to_uuid(stored("id"))),
+        "pmid": (text("pmid"), ids.format_pmid(stored("pmid"))),
+        "pmcid": (text("pmcid"), ids.format_pmcid(stored("pmcid"))),
+        "istexId": (text("istexId"), ids.format_istex(stored("istex_id"))),
+        "resources": (F.array_join(names, ","), F.array_join(rebuilt_names, ",")),
+        "license": (text("license"), label),
     }
-    code = ids.licence_code(text("license"))
-    again = ids.licence_label(code)
+    same = {name: before.eqNullSafe(after) for name, (before, after) in pairs.items()}
+    same["license"] = stored("license").eqNullSafe(ids.licence_code(label))
     differences = [
         F.when(
-            ~before.eqNullSafe(after),
+            ~same[name],
             F.struct(F.lit(name).alias("field"), before.alias("before"), after.alias("after")),
         )
-        for name, (before, after) in rebuilt.items()
+        for name, (before, after) in pairs.items()
     ]
-    differences.append(
-        F.when(
-            ~code.eqNullSafe(ids.licence_code(again)),
-            F.struct(F.lit("license").alias("field"), text("license").alias("before"), again.alias("after")),
-        )
-    )
-    good = rows.where(F.size(_failing_fields()) == 0)
-    return good.select("id", F.inline(F.array_compact(F.array(*differences))))
+    compared = once(_good(rows), _diff=F.array_compact(F.array(*differences)))
+    return compared.select("id", F.inline("_diff"))

@@ -25,8 +25,11 @@ def stop_list_filter(mentions: DataFrame, words: Iterable[str] = STOP_WORDS) ->
 
 
 def exclude_stop_list(mentions: DataFrame, words: DataFrame) -> DataFrame:
-    """The same for a list too long for a literal: ``words`` has a column ``softwareId``."""
-    return mentions.join(words, "softwareId", "left_anti")
+    """The same for a list too long for a literal: ``words`` has a column ``softwareId``.
+
+    Generic names are the most frequent of all, so their rows are dealt over several keys.
+    """
+    return _members(mentions, words.select("softwareId").distinct(), "softwareId", "left_anti")
 
 
 def distinct_edges(mentions: DataFrame) -> DataFrame:
@@ -53,8 +56,8 @@ def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFra
 
     One name or one paper may own a large share of the edges, so a key's edges are dealt
     over ``PIECES`` join keys by their other column, and the list is repeated that often.
-    Both lists used here hold a small fraction of the edges' row count: every listed name
-    has at least ``min_support`` edges, every listed paper more than ``max_fanout``.
+    The lists are short beside the edges: every listed name has at least ``min_support`` of
+    them, every listed paper more than ``max_fanout``.
     """
     other = "paperId" if key == "softwareId" else "softwareId"
     piece = F.pmod(F.xxhash64(other), F.lit(PIECES)).cast("int")
@@ -62,7 +65,7 @@ def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFra
     return (
         edges.withColumn("_piece", piece)
         .join(listed.select("*", pieces.alias("_piece")), [key, "_piece"], how)
-        .drop("_piece")
+        .select(*edges.columns, *[c for c in listed.columns if how == "inner" and c != key])
     )
 
 

@@ -189,7 +189,7 @@ ORACLES["removable_by_name"] = (
 # The rejected text ends before its last brace.
 ORACLES["rejected_documents"] = f"""
 WITH {_ITEMS}
-SELECT substr(paper, 1, 2) AS shard, name AS file,
+SELECT substr(paper, 1, 1) AS shard, name AS file,
   '{{' || CASE l_returnflag WHEN 'R' THEN '"file":"elsewhere.json",' ELSE '' END
   || '"title":"' || p_name || '","price":' || l_extendedprice
   || ',"amounts":[' || l_quantity || ',' || l_tax || ']' AS body
@@ -212,7 +212,7 @@ SELECT {_KIND.format('name')} AS kind, count(*) AS n FROM names GROUP BY 1
 
 ORACLES["merged_shards"] = f"""
 WITH {_ITEMS}
-SELECT substr(paper, 1, 2) AS shard, {_KIND.format('name')} AS kind, count(*) AS n,
+SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind, count(*) AS n,
        count(DISTINCT name) AS n_files, max(l_extendedprice) AS max_price
 FROM items WHERE l_discount <> 0.1 GROUP BY 1, 2
 """

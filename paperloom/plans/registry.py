@@ -373,9 +373,9 @@ def paper_ids_roundtrip_mismatches(spark, sf_dir):
 
 @query
 def resource_codes(spark, sf_dir):
-    rows = _identifier_rows(spark, sf_dir).where(~ids.resources_bad(F.col("resources")))
-    code = F.explode(ids.resource_codes(F.col("resources")))
-    counted = rows.select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    codes = _identifier_rows(spark, sf_dir).select(ids.resource_codes(F.col("resources")).alias("codes"))
+    known = codes.where(~F.exists("codes", lambda code: code.isNull()))
+    counted = known.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     name = F.element_at(ids.resource_names(F.array("code")), 1)
     return counted.select("code", name.alias("name"), "n")
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.once import once
 from paperloom.schemas import KIND_BY_SUFFIX, LICENCES
+from paperloom.session import spread
 
 MENTION_SUFFIXES = [suffix for suffix, kind in KIND_BY_SUFFIX.items() if kind != "paper"]
 SPELLINGS = [label for _, label, _ in LICENCES] + [alias for _, _, alias in LICENCES if alias]
@@ -19,7 +21,8 @@ STOP_LIST = ("widget", "plate")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a small one is dealt out, as its file is one row group."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def uuid_of(key: Column) -> Column:
@@ -35,16 +38,15 @@ def pick(options: list[str], index: Column) -> Column:
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part, paper id and file name."""
-    items = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
-    )
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    items = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     paper = uuid_of(F.col("l_orderkey"))
     suffix = pick(MENTION_SUFFIXES, F.pmod("l_linenumber", F.lit(5)))
-    return items.withColumn("paper", paper).withColumn("name", F.concat("paper", suffix))
+    return once(items, paper=paper).withColumn("name", F.concat("paper", suffix))
 
 
 def mention_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(l_orderkey, l_linenumber, l_partkey, kind_name, shard, body): merged mention lines.
+    """(l_orderkey, l_linenumber, l_partkey, body): merged mention lines.
 
     Two mentions each: the part with its brand, and the thing it is, without an id. Text
     of items with the largest discount is cut short.
@@ -69,18 +71,20 @@ def mention_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_extendedprice").alias("price"),
         )
     )
-    cut = F.when(F.col("l_discount") == 0.1, F.substr(text, F.lit(1), F.length(text) - 1))
-    return line_items(spark, sf_dir).select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        F.substring("paper", 1, 2).alias("shard"),
-        F.coalesce(cut, text).alias("body"),
+    return _with_body(line_items(spark, sf_dir), text).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "body"
     )
 
 
+def _with_body(items: DataFrame, text: Column) -> DataFrame:
+    """``body``: the text, without its last character for items with the largest discount."""
+    whole = F.col("body")
+    cut = F.when(F.col("l_discount") == 0.1, F.substr(whole, F.lit(1), F.length(whole) - 1))
+    return once(once(items, body=text), body=F.coalesce(cut, whole))
+
+
 def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(shard, file, kind_name, body): the same as files of a tree, before compaction.
+    """(shard, file, body): the same as files of a tree, before compaction.
 
     Returned goods have a ``file`` key already, which compaction must overwrite.
     """
@@ -92,11 +96,8 @@ def tree_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array("l_quantity", "l_tax").alias("amounts"),
         )
     )
-    cut = F.when(F.col("l_discount") == 0.1, F.substr(text, F.lit(1), F.length(text) - 1))
-    return line_items(spark, sf_dir).select(
-        F.substring("paper", 1, 2).alias("shard"),
-        F.col("name").alias("file"),
-        F.coalesce(cut, text).alias("body"),
+    return _with_body(line_items(spark, sf_dir), text).select(
+        F.substring("paper", 1, 1).alias("shard"), F.col("name").alias("file"), "body"
     )
 
 
@@ -109,7 +110,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paperId, softwareId) with customers as papers, which then hold dozens of names."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     return (
         line_items(spark, sf_dir)
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -124,19 +125,19 @@ def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate"))
     )
     name = F.concat(uuid_of(F.col("o_orderkey")), F.lit(".json"))
-    return table(spark, sf_dir, "orders").select(
-        F.to_json(
-            F.struct(name.alias("file"), year.alias("year"), F.col("o_orderstatus").alias("genre"))
-        ).alias("body")
+    text = F.to_json(
+        F.struct(name.alias("file"), year.alias("year"), F.col("o_orderstatus").alias("genre"))
     )
+    return once(table(spark, sf_dir, "orders"), body=text).select("body")
 
 
 def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(body): identifier records. Some forms are lossy, some fields cannot be stored."""
+    orders = table(spark, sf_dir, "orders").withColumn("number", F.col("o_orderkey").cast("string"))
+    orders = once(orders, uuid=uuid_of(F.col("o_orderkey")), sha=F.upper(F.sha1("number")))
+    number, sha, uuid = F.col("number"), F.col("sha"), F.col("uuid")
     key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
-    number = key.cast("string")
-    sha = F.upper(F.sha1(number))
-    ident = F.when(priority == "2-HIGH", F.upper(uuid_of(key))).otherwise(uuid_of(key))
+    ident = F.when(priority == "2-HIGH", F.upper(uuid)).otherwise(uuid)
     pmid = F.when(priority == "1-URGENT", F.concat(F.lit("00"), number)).when(
         status == "P", F.concat(F.lit("-"), number)
     ).otherwise(number)
@@ -152,8 +153,9 @@ def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     licence = F.when(F.col("o_totalprice").between(100000, 110000), F.lit("CC-BY")).otherwise(
         pick(SPELLINGS, F.pmod(key, F.lit(len(SPELLINGS))))
     )
-    return table(spark, sf_dir, "orders").select(
-        F.to_json(
+    return once(
+        orders,
+        body=F.to_json(
             F.struct(
                 ident.alias("id"),
                 F.concat(F.lit("10.1/"), number).alias("doi"),
@@ -165,8 +167,8 @@ def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 licence.alias("license"),
                 F.concat(F.lit("https://a.example/"), number).alias("oa_link"),
             )
-        ).alias("body")
-    )
+        ),
+    ).select("body")
 
 
 def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,25 +184,21 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('"'), "event_type", F.lit('"'))
     )
     maybe = F.when(F.col("value") > 50, F.lit("null")).otherwise(F.lit("1.5"))
-    return table(spark, sf_dir, "events").select(
-        F.concat(
-            F.lit('{"event":'), F.to_json(event), F.lit(',"props":'), F.col("props"),
-            F.lit(',"code":'), code, F.lit(',"maybe":'), maybe, F.lit(',"none":[],"blank":{}}'),
-        ).alias("body")
+    text = F.concat(
+        F.lit('{"event":'), F.to_json(event), F.lit(',"props":'), F.col("props"),
+        F.lit(',"code":'), code, F.lit(',"maybe":'), maybe, F.lit(',"none":[],"blank":{}}'),
     )
+    return once(table(spark, sf_dir, "events"), body=text).select("body")
 
 
 def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, body): each turn with its whole text as lines of words."""
+    """(body): each turn with its whole text as lines of words."""
     lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))
-    return table(spark, sf_dir, "conversations").select(
-        "conv_id",
-        "turn",
-        F.to_json(
-            F.struct(
-                F.col("conv_id").alias("conv"),
-                F.struct(F.col("turn").alias("no"), "role", lines.alias("lines")).alias("turn"),
-                F.array().alias("none"),
-            )
-        ).alias("body"),
+    text = F.to_json(
+        F.struct(
+            F.col("conv_id").alias("conv"),
+            F.struct(F.col("turn").alias("no"), "role", lines.alias("lines")).alias("turn"),
+            F.array().alias("none"),
+        )
     )
+    return once(table(spark, sf_dir, "conversations"), body=text).select("body")

@@ -51,6 +51,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a source that is too small to be read by every core, dealt out evenly.
+
+    A source of at least SPLIT_BYTES per core is returned as it is: its scan is split
+    already, and it is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     app = spark.sparkContext.applicationId
     return f"{shared_folder(spark)}/paperloom/{app}/{name}-{uuid.uuid4().hex}"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import files
+from paperloom.functions.once import once
 
 SOURCE_ORDER = ("file_name", "block_start", "line_pos")
 SHARD_NAME = r"[0-9a-f]{2}\.software\.jsonl\.gz"
@@ -145,7 +146,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     """
     docs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     value = F.try_parse_json("body")
-    return docs.withColumn("doc", F.when(F.ltrim("body").startswith("{"), value))
+    return once(docs, doc=F.when(F.ltrim("body").startswith("{"), value))
 
 
 def drop_malformed(docs: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def decode(docs: DataFrame, ddl: str, strict: bool = False) -> DataFrame:
         bad = F.when(F.col("_record").isNull(), F.col("body")).otherwise(F.col("_record._bad"))
     keep = [c for c in docs.columns if c not in ("body", "doc")]
     names = [n for n in T.StructType.fromDDL(ddl).fieldNames() if n not in keep]
-    return docs.withColumn("_record", record).select(
+    return once(docs, _record=record).select(
         *keep, *[F.col("_record")[n].alias(n) for n in names], bad.alias("bad_body")
     )
 
