@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.schemas import STOP_WORDS
-from paperloom.session import stage
+from paperloom.session import fits_in_broadcast, stage
 
 MIN_SUPPORT = 100
 
 # A paper with more names than this takes the second way through ``co_mentions``.
 MAX_FANOUT = 512
 
-# Number of pieces a hot join key is cut into.
+# Number of pieces a hot join key is cut into; a power of two.
 PIECES = 32
 
 
@@ -29,7 +29,7 @@ def exclude_stop_list(mentions: DataFrame, words: DataFrame) -> DataFrame:
 
     Generic names are the most frequent of all, so their rows are dealt over several keys.
     """
-    return _members(mentions, words.select("softwareId").distinct(), "softwareId", "left_anti")
+    return _members(mentions, words.select("softwareId"), "softwareId", "left_anti")
 
 
 def distinct_edges(mentions: DataFrame) -> DataFrame:
@@ -54,24 +54,28 @@ def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFra
     """Edges whose ``key`` is in ``listed`` (left_semi; inner adds the list's columns) or
     is not in it (left_anti).
 
-    One name or one paper may own a large share of the edges, so a key's edges are dealt
-    over ``PIECES`` join keys by their other column, and the list is repeated that often.
-    The lists are short beside the edges: every listed name has at least ``min_support`` of
-    them, every listed paper more than ``max_fanout``.
+    ``listed`` is a written table. If its measured size allows, each task gets all of it and
+    the edges stay where they are. Otherwise both are shuffled, and as one name or one paper
+    may own a large share of the edges, a key's edges are dealt over ``PIECES`` join keys by
+    their other column, with the list repeated that often. A list is short beside the edges:
+    a listed name has at least ``min_support`` of them, a listed paper over ``max_fanout``.
     """
-    other = "paperId" if key == "softwareId" else "softwareId"
-    piece = F.pmod(F.xxhash64(other), F.lit(PIECES)).cast("int")
-    pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
-    return (
-        edges.withColumn("_piece", piece)
-        .join(listed.select("*", pieces.alias("_piece")), [key, "_piece"], how)
-        .select(*edges.columns, *[c for c in listed.columns if how == "inner" and c != key])
-    )
+    if fits_in_broadcast(listed, key):
+        joined = edges.join(F.broadcast(listed), key, how)
+    else:
+        other = "paperId" if key == "softwareId" else "softwareId"
+        piece = F.xxhash64(other).bitwiseAND(F.lit(PIECES - 1))
+        pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PIECES - 1).cast("long")))
+        joined = edges.withColumn("_piece", piece).join(
+            listed.select("*", pieces.alias("_piece")), [key, "_piece"], how
+        )
+    added = [c for c in listed.columns if how == "inner" and c != key]
+    return joined.select(*edges.columns, *added)
 
 
 def restrict_to_frequent(edges: DataFrame, frequent: DataFrame) -> DataFrame:
     """Edges of frequent software only; a pair is never more frequent than its members."""
-    return _members(edges, frequent, "softwareId", "left_semi")
+    return _members(edges, frequent.select("softwareId"), "softwareId", "left_semi")
 
 
 def _pair_up(edges: DataFrame) -> DataFrame:
@@ -99,18 +103,21 @@ def co_mentions(
       ``max_fanout`` others, so the work is linear in the edges.
     * more: the pairs inside such a paper are not enumerated. See ``_with_wide_papers``.
 
-    The frequent edges are staged, because each step reads them again; the number of wide
-    papers is then one cheap count, and without any the second way is left out of the plan.
+    Every step reads the edges again, so they are written once, as are the lists of frequent
+    names and of wide papers. Without wide papers the second way is left out of the plan.
     """
-    frequent = min_support(papers_per_software(edges), item_support)
-    kept = stage(restrict_to_frequent(edges, frequent), "frequent-edges")
+    edges = stage(edges, "edges")
+    frequent = stage(min_support(papers_per_software(edges), item_support), "frequent")
+    kept = restrict_to_frequent(edges, frequent)
+    if not fits_in_broadcast(frequent, "softwareId"):
+        kept = stage(kept, "frequent-edges")
     degree = kept.groupBy("paperId").agg(F.count("*").alias("degree"))
-    wide = degree.where(F.col("degree") > max_fanout)
+    wide = stage(degree.where(F.col("degree") > max_fanout), "wide-papers")
     n_wide = wide.count()
     if n_wide == 0:
         pairs = _pair_up(kept)
     else:
-        narrow_pairs = _pair_up(_members(kept, wide, "paperId", "left_anti"))
+        narrow_pairs = _pair_up(_members(kept, wide.select("paperId"), "paperId", "left_anti"))
         wide_edges = stage(_members(kept, wide, "paperId", "inner"), "wide-edges")
         pairs = _with_wide_papers(narrow_pairs, wide_edges, n_wide, pair_support)
     return pairs.where(F.col("n") >= pair_support).select(
@@ -138,8 +145,8 @@ def _with_wide_papers(
     per_name = stage(papers_per_software(wide_edges), "wide-names")
     candidates = narrow_pairs
     if n_wide >= support:
-        often = min_support(per_name, support)
-        eligible = _members(wide_edges, often.select("softwareId"), "softwareId", "left_semi")
+        often = min_support(per_name, support).select("softwareId")
+        eligible = _members(wide_edges, often, "softwareId", "left_semi")
         widest_first = Window.partitionBy("softwareId").orderBy(F.desc("degree"), "paperId")
         # only the top of each name's list is ranked: Spark cuts every task's rows to
         # support - 1 per name before the shuffle

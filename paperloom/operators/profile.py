@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.numbers import fits_float32, is_integral, number_text, storage_type
-from paperloom.session import stage
+from paperloom.functions.once import once
+from paperloom.session import fits_in_broadcast, stage
 
 MAX_ENUM = 20
 MAX_DEPTH = 12
 
-# Largest list of paths, in bytes, that is sent to every task.
-MAX_BROADCAST = 8 * 1024 * 1024
-
 
 def flatten_json(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Leaves of the VARIANT column ``doc``; other columns of ``docs`` are kept.
@@ -28,27 +26,23 @@ def flatten_json(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     ``truncated``, with its JSON text in ``str``.
     """
     keep = [c for c in docs.columns if c not in ("doc", "body")]
-    level = docs.select(*keep, F.lit("").alias("path"), F.col("doc").alias("v"))
-    member = F.col("e.key").isNotNull()
-    element = F.col("e.value").isNotNull()
-    path = (
-        F.when(member, F.concat("path", F.lit("."), "e.key"))
-        .when(element, F.concat("path", F.lit("[]")))
-        .otherwise(F.col("path"))
-    )
-    empty = ~element & F.to_json("v").isin("{}", "[]")
+    kept = "".join(f"`{c}`, " for c in keep)
+    query = f"SELECT {kept}'' AS path, doc AS v FROM {{docs}}"
     for _ in range(max_depth):
-        opened = level.lateralJoin(
-            level.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).alias("e")
-        )
-        level = opened.where(~empty).select(
-            *keep, path.alias("path"), F.coalesce("e.value", "v").alias("v")
-        )
-    return level.select(*keep, "path", *_leaf_columns())
+        query = f"""
+            SELECT {kept}
+                   CASE WHEN e.key IS NOT NULL THEN concat(path, '.', e.key)
+                        WHEN e.value IS NOT NULL THEN concat(path, '[]')
+                        ELSE path END AS path,
+                   coalesce(e.value, v) AS v
+            FROM ({query}), LATERAL variant_explode_outer(v) AS e
+            WHERE NOT (e.value IS NULL AND to_json(v) IN ('{{{{}}}}', '[]'))"""
+    level = docs.sparkSession.sql(query, docs=docs)
+    return once(level, schema=F.schema_of_variant("v")).select(*keep, "path", *_leaf_columns())
 
 
 def _leaf_columns():
-    schema = F.schema_of_variant("v")
+    schema = F.col("schema")
     container = schema.startswith("OBJECT<") | schema.startswith("ARRAY<")
     kind = (
         F.when(schema == "VOID", "null")
@@ -120,10 +114,9 @@ def field_values(leaves: DataFrame, totals: DataFrame) -> DataFrame:
     whose keys are data, values are grouped first and the groups are joined with the list.
     """
     few = totals.where("few").select("path", "kind", "integral")
-    size = few.agg(F.sum(F.length("path") + 32).alias("bytes")).first()["bytes"] or 0
     value = ["path", "kind", "num", "str"]
     valued = leaves.select(*value).where(F.col("kind").isin("number", "string"))
-    if size <= MAX_BROADCAST:
+    if fits_in_broadcast(few, "path"):
         counted = (
             valued.join(F.broadcast(few), ["path", "kind"])
             .groupBy(*value, "integral")

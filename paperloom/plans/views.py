@@ -25,11 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def uuid_of(key: Column) -> Column:
-    h = F.md5(key.cast("string"))
-    return F.concat_ws(
-        "-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12)
-    )
+def with_uuid(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Add a UUID made from the MD5 of a key."""
+    h = F.col("_md5")
+    cuts = [h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12)]
+    hashed = once(df, _md5=F.md5(F.col(key).cast("string")))
+    return hashed.withColumn(name, F.concat_ws("-", *cuts)).drop("_md5")
 
 
 def pick(options: list[str], index: Column) -> Column:
@@ -40,9 +41,8 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part, paper id and file name."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     items = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    paper = uuid_of(F.col("l_orderkey"))
     suffix = pick(MENTION_SUFFIXES, F.pmod("l_linenumber", F.lit(5)))
-    return once(items, paper=paper).withColumn("name", F.concat("paper", suffix))
+    return with_uuid(items, "paper", "l_orderkey").withColumn("name", F.concat("paper", suffix))
 
 
 def mention_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +111,8 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paperId, softwareId) with customers as papers, which then hold dozens of names."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    return (
-        line_items(spark, sf_dir)
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(uuid_of(F.col("o_custkey")).alias("paperId"), F.col("p_name").alias("softwareId"))
-    )
+    items = line_items(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return with_uuid(items, "paperId", "o_custkey").select("paperId", F.col("p_name").alias("softwareId"))
 
 
 def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,17 +121,18 @@ def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", F.year("o_orderdate") + 70000)
         .when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate"))
     )
-    name = F.concat(uuid_of(F.col("o_orderkey")), F.lit(".json"))
+    name = F.concat("uuid", F.lit(".json"))
     text = F.to_json(
         F.struct(name.alias("file"), year.alias("year"), F.col("o_orderstatus").alias("genre"))
     )
-    return once(table(spark, sf_dir, "orders"), body=text).select("body")
+    orders = with_uuid(table(spark, sf_dir, "orders"), "uuid", "o_orderkey")
+    return once(orders, body=text).select("body")
 
 
 def identifier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(body): identifier records. Some forms are lossy, some fields cannot be stored."""
     orders = table(spark, sf_dir, "orders").withColumn("number", F.col("o_orderkey").cast("string"))
-    orders = once(orders, uuid=uuid_of(F.col("o_orderkey")), sha=F.upper(F.sha1("number")))
+    orders = once(with_uuid(orders, "uuid", "o_orderkey"), sha=F.upper(F.sha1("number")))
     number, sha, uuid = F.col("number"), F.col("sha"), F.col("uuid")
     key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
     ident = F.when(priority == "2-HIGH", F.upper(uuid)).otherwise(uuid)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings a cluster run wants; all are ordinary Spark options.
 #  * small input files: a low open cost packs thousands of tiny JSON files in one task
@@ -83,6 +84,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Largest list, in bytes of its key, that is sent to every task.
+MAX_BROADCAST = 8 * 1024 * 1024
+
+
+def fits_in_broadcast(listed: DataFrame, key: str) -> bool:
+    """True when the measured size of ``listed`` allows to send it to every task.
+
+    Runs one small aggregate, so ``listed`` should be a written table or cheap to compute.
+    """
+    row_overhead = 32
+    measured = listed.agg(F.sum(F.octet_length(key) + row_overhead).alias("bytes"))
+    return (measured.first()["bytes"] or 0) <= MAX_BROADCAST
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove this application's staged tables. Call when no result that reads them is left."""
     jvm = spark.sparkContext._jvm

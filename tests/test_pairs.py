@@ -7,6 +7,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from paperloom import session
 from paperloom.operators import pairs
 from paperloom.schemas import STOP_WORDS
 
@@ -50,6 +51,16 @@ def test_co_mentions_equal_brute_force(spark, seed, fanout, support):
     assert rows(got) == brute(mentions, support, support)
 
 
+def test_long_lists_take_the_shuffled_way(spark, monkeypatch):
+    monkeypatch.setattr(session, "MAX_BROADCAST", 0)
+    mentions = corpus(11)
+    edges = pairs.distinct_edges(table(spark, mentions))
+    assert rows(pairs.co_mentions(edges, 20, 20, 8)) == brute(mentions, 20, 20)
+    words = spark.createDataFrame([("s0",), ("s1",)], "softwareId STRING")
+    kept = pairs.exclude_stop_list(table(spark, mentions), words)
+    assert rows(kept) == sorted(m for m in mentions if m[1] not in ("s0", "s1"))
+
+
 @settings(max_examples=6, deadline=None)
 @given(
     st.lists(st.tuples(st.integers(0, 6).map("p{}".format), st.integers(0, 8).map("s{}".format)), min_size=20, max_size=120),

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from paperloom import session
 from paperloom.functions.numbers import fits_float32, is_integral
 from paperloom.operators import profile
 from paperloom.plans import jobs
@@ -77,7 +78,7 @@ def test_enum_limit(spark):
 def test_many_few_valued_paths_take_the_shuffled_way(spark, monkeypatch):
     docs = [{f"key{i}": i % 2, "s": "x" * (i % 3)} for i in range(200)]
     direct = rows(fields(spark, docs)[1])
-    monkeypatch.setattr(profile, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(session, "MAX_BROADCAST", 0)
     assert rows(fields(spark, docs)[1]) == direct and len(direct) == 203
 
 
