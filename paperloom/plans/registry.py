@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from paperloom.functions import identifiers as ids
 from paperloom.functions.numbers import fits_float32, is_integral
 from paperloom.operators import identifiers, licences, maintenance, mentions, ordering, pairs, profile
 from paperloom.plans import jobs, views
-from paperloom.session import staging_path
+from paperloom.session import configure, staging_path
 from paperloom.sources import documents, sinks, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,12 @@ VIEW_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "mention_pos")
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(configure(spark), sf_dir.rstrip("/"))
+
+    QUERIES[fn.__name__] = configured
+    return configured
 
 
 def _exploded(spark: SparkSession, sf_dir: str) -> DataFrame:

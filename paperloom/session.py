@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Settings a cluster run wants; all are ordinary Spark options.
+# Settings the operators count on; all are ordinary Spark options.
+#  * adaptive execution: splits an oversized key of a shuffled join, joins small tables by
+#    broadcast once their size is known, merges small partitions
 #  * small input files: a low open cost packs thousands of tiny JSON files in one task
 #  * duplicate JSON keys: the last one wins
 CLUSTER_CONF = {
@@ -21,6 +23,17 @@ CLUSTER_CONF = {
 }
 
 
+# Temporary folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Set CLUSTER_CONF on a running session; all of it may be changed at run time."""
+    for key, value in CLUSTER_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     builder = (
@@ -30,9 +43,9 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
-    for key, value in {**CLUSTER_CONF, **extra}.items():
+    for key, value in extra.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -47,9 +60,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="paperloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="paperloom-")
+    return _LOCAL_FOLDERS[app]
 
 
 SPLIT_BYTES = 128 * 1024 * 1024
