@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.schemas import licence_dimension
+from paperloom.schemas import LICENCES, licence_dimension
 
 
 def licence_counts(stored: DataFrame) -> DataFrame:
@@ -16,9 +16,10 @@ def licence_counts(stored: DataFrame) -> DataFrame:
 def zero_filled_licences(counts: DataFrame) -> DataFrame:
     """(code, label, n) for all 17 licences, also those without records.
 
-    ``counts`` has one row per licence code, at most 17, so it goes to the dimension.
+    Rows of the 17 codes are all that is sent to the dimension.
     """
     dimension = licence_dimension(counts.sparkSession)
+    counts = counts.where(F.col("license").isin([code for code, _, _ in LICENCES]))
     return dimension.join(
         F.broadcast(counts), dimension["code"] == counts["license"], "left"
     ).select("code", "label", F.coalesce("n", F.lit(0)).alias("n"))

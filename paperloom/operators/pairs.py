@@ -13,7 +13,7 @@ from paperloom.session import fits_in_broadcast, stage
 MIN_SUPPORT = 100
 
 # A paper with more names than this takes the second way through ``co_mentions``.
-MAX_FANOUT = 512
+MAX_FANOUT = 256
 
 # Number of pieces a hot join key is cut into; a power of two.
 PIECES = 32

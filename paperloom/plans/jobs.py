@@ -33,6 +33,21 @@ def processed(spark: SparkSession, root: str, merged: str) -> DataFrame:
     return maintenance.processed_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
 
 
+def removable(spark: SparkSession, root: str) -> DataFrame:
+    """Source files in shard directories whose name is that of a known kind."""
+    listed = documents.list_documents(spark, root)
+    return maintenance.removable_by_name(listed.where("shard <> ''"))
+
+
+def profile_path(
+    spark: SparkSession, path: str, max_depth: int = profile.MAX_DEPTH, strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Profile of one .jsonl or .jsonl.gz file, or of the shard files of a directory."""
+    one_file = path.endswith((".jsonl", ".jsonl.gz"))
+    lines = documents.scan_jsonl(spark, path) if one_file else documents.scan_shards(spark, path)
+    return profile_json(lines, max_depth, strict)
+
+
 def profile_json(
     lines: DataFrame, max_depth: int = profile.MAX_DEPTH, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:

@@ -80,6 +80,7 @@ def test_compact_and_read_back(spark, tree, tmp_path):
     assert list((tmp_path / "merged" / "shard=00" / "kind=paper").glob("*.gz"))
     assert jobs.pending(spark, tree, out).count() == 2
     assert jobs.processed(spark, tree, out).count() == 4
+    assert jobs.removable(spark, tree).count() == 6
 
 
 def test_two_kind_form(spark, tree, tmp_path):
@@ -134,6 +135,10 @@ def test_scan_shards(spark, tmp_path):
         "00.software.jsonl.gz", "ff.software.jsonl.gz", "x7a.software.jsonl.gz.old.gz",
         "02.software.jsonl.gz.d/03.software.jsonl.gz",
     ])
+    (row,) = jobs.profile_path(spark, str(tmp_path))[0].collect()
+    assert (row.path, row.n, row.n_distinct) == (".at", 4, 4)
+    (row,) = jobs.profile_path(spark, str(tmp_path / "00.jsonl.gz"))[0].collect()
+    assert (row.path, row.n) == (".at", 1)
 
 
 def test_decode(spark):
