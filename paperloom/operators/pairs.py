@@ -50,7 +50,9 @@ def frequent_count(frequent: DataFrame) -> DataFrame:
     return frequent.agg(F.count("*").alias("n_software"))
 
 
-def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFrame:
+def _members(
+    edges: DataFrame, listed: DataFrame, key: str, how: str, fits: bool | None = None
+) -> DataFrame:
     """Edges whose ``key`` is in ``listed`` (left_semi; inner adds the list's columns) or
     is not in it (left_anti).
 
@@ -60,7 +62,7 @@ def _members(edges: DataFrame, listed: DataFrame, key: str, how: str) -> DataFra
     their other column, with the list repeated that often. A list is short beside the edges:
     a listed name has at least ``min_support`` of them, a listed paper over ``max_fanout``.
     """
-    if fits_in_broadcast(listed, key):
+    if fits if fits is not None else fits_in_broadcast(listed, key):
         joined = edges.join(F.broadcast(listed), key, how)
     else:
         other = "paperId" if key == "softwareId" else "softwareId"
@@ -108,8 +110,9 @@ def co_mentions(
     """
     edges = stage(edges, "edges")
     frequent = stage(min_support(papers_per_software(edges), item_support), "frequent")
-    kept = restrict_to_frequent(edges, frequent)
-    if not fits_in_broadcast(frequent, "softwareId"):
+    fits = fits_in_broadcast(frequent, "softwareId")
+    kept = _members(edges, frequent.select("softwareId"), "softwareId", "left_semi", fits)
+    if not fits:
         kept = stage(kept, "frequent-edges")
     degree = kept.groupBy("paperId").agg(F.count("*").alias("degree"))
     wide = stage(degree.where(F.col("degree") > max_fanout), "wide-papers")
@@ -117,8 +120,10 @@ def co_mentions(
     if n_wide == 0:
         pairs = _pair_up(kept)
     else:
-        narrow_pairs = _pair_up(_members(kept, wide.select("paperId"), "paperId", "left_anti"))
-        wide_edges = stage(_members(kept, wide, "paperId", "inner"), "wide-edges")
+        fits = fits_in_broadcast(wide, "paperId")
+        narrow = _members(kept, wide.select("paperId"), "paperId", "left_anti", fits)
+        narrow_pairs = _pair_up(narrow)
+        wide_edges = stage(_members(kept, wide, "paperId", "inner", fits), "wide-edges")
         pairs = _with_wide_papers(narrow_pairs, wide_edges, n_wide, pair_support)
     return pairs.where(F.col("n") >= pair_support).select(
         "s1", "s2", F.col("n").alias("n_papers")
@@ -128,70 +133,61 @@ def co_mentions(
 def _with_wide_papers(
     narrow_pairs: DataFrame, wide_edges: DataFrame, n_wide: int, support: int
 ) -> DataFrame:
-    """Add to each narrow count the wide papers that hold the pair, where it can matter.
-
-    A pair reaches ``support`` in one of two ways.
-
-    1. Narrow papers hold it too. Its wide count is at most the smaller of its members'
-       wide counts; pairs that cannot reach ``support`` with that are dropped at once.
-    2. Only wide papers hold it, at least ``support`` of them. Order each name's wide
-       papers from the widest down: beyond the first ``support - 1`` there is still a
-       common one. So pairs are made from each name's remaining papers only, and a paper
-       that is far wider than the others pairs nothing. With fewer than ``support`` wide
-       papers in all, there is nothing to do.
-
-    The candidates are then counted by looking up the papers of the rarer member.
+    """Add to each narrow count the number of wide papers that hold the pair.
+
+    Each name's ``support - 1`` widest papers are set aside; what is left of its wide papers
+    is its rest. A pair that no narrow paper holds needs ``support`` wide ones, so at least
+    one of them is in the rest of both names. Hence two steps find every pair that matters:
+
+    1. Pairs are made from the rests only. A paper far wider than the others is set aside by
+       all its names and pairs nothing; with fewer than ``support`` wide papers in all,
+       there are no rests.
+    2. Pairs of narrow papers or of step 1 that can still reach ``support`` get the papers
+       added that one of the two names has set aside: at most ``2 * (support - 1)`` lookups
+       per pair, whatever the size of the papers.
     """
     per_name = stage(papers_per_software(wide_edges), "wide-names")
-    candidates = narrow_pairs
+    widest_first = Window.partitionBy("softwareId").orderBy(F.desc("degree"), "paperId")
+    # Spark cuts every task's rows to support - 1 per name before the shuffle
+    aside = stage(
+        wide_edges.withColumn("place", F.row_number().over(widest_first))
+        .where(F.col("place") < support)
+        .select("paperId", "softwareId"),
+        "widest-papers",
+    )
+    wide_edges = wide_edges.select("paperId", "softwareId")
+    known = narrow_pairs
     if n_wide >= support:
-        often = min_support(per_name, support).select("softwareId")
-        eligible = _members(wide_edges, often, "softwareId", "left_semi")
-        widest_first = Window.partitionBy("softwareId").orderBy(F.desc("degree"), "paperId")
-        # only the top of each name's list is ranked: Spark cuts every task's rows to
-        # support - 1 per name before the shuffle
-        passed_over = (
-            eligible.withColumn("place", F.row_number().over(widest_first))
-            .where(F.col("place") < support)
-            .select("paperId", "softwareId")
-        )
-        remaining = eligible.join(passed_over, ["paperId", "softwareId"], "left_anti")
-        only_wide = _pair_up(remaining).select("s1", "s2", F.lit(0).cast("long").alias("n"))
-        candidates = narrow_pairs.unionByName(only_wide).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
+        rest = stage(wide_edges.join(aside, ["paperId", "softwareId"], "left_anti"), "rest")
+        known = narrow_pairs.unionByName(_pair_up(rest)).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
 
     first = per_name.select(F.col("softwareId").alias("s1"), F.col("n_papers").alias("w1"))
     second = per_name.select(F.col("softwareId").alias("s2"), F.col("n_papers").alias("w2"))
-    can_add = F.coalesce(F.least("w1", "w2"), F.lit(0))
     in_both = F.col("w1").isNotNull() & F.col("w2").isNotNull()
-    rarer_first = F.col("w1") <= F.col("w2")
+    can_add = F.least("w1", "w2", F.lit(2 * (support - 1)))
     hopeful = stage(
-        candidates.join(first, "s1", "left")
+        known.join(first, "s1", "left")
         .join(second, "s2", "left")
         .withColumn("most", F.when(in_both, can_add).otherwise(0))
         .where(F.col("n") + F.col("most") >= support)
-        .select(
-            "s1",
-            "s2",
-            "n",
-            "most",
-            F.when(rarer_first, F.col("s1")).otherwise(F.col("s2")).alias("rarer"),
-            F.when(rarer_first, F.col("s2")).otherwise(F.col("s1")).alias("other"),
-        ),
+        .select("s1", "s2", "n", "most"),
         "hopeful-pairs",
     )
-    of_rarer = wide_edges.select("paperId", F.col("softwareId").alias("rarer"))
-    of_other = wide_edges.select("paperId", F.col("softwareId").alias("other"))
-    in_wide = (
-        hopeful.where("most > 0")
-        .select("s1", "s2", "rarer", "other")
-        .join(of_rarer, "rarer")
-        .join(of_other, ["paperId", "other"], "left_semi")
-        .groupBy("s1", "s2")
-        .agg(F.count("*").alias("n"))
-    )
+    open_pairs = hopeful.where("most > 0").select("s1", "s2")
+    # set aside by s1, anywhere in s2's papers
+    added = open_pairs.join(aside.withColumnRenamed("softwareId", "s1"), "s1").join(
+        wide_edges.withColumnRenamed("softwareId", "s2"), ["paperId", "s2"], "left_semi"
+    ).select("s1", "s2")
+    if n_wide >= support:
+        # set aside by s2 only
+        by_second = open_pairs.join(aside.withColumnRenamed("softwareId", "s2"), "s2").join(
+            rest.withColumnRenamed("softwareId", "s1"), ["paperId", "s1"], "left_semi"
+        )
+        added = added.unionByName(by_second.select("s1", "s2"))
+    counted = added.groupBy("s1", "s2").agg(F.count("*").alias("n"))
     return (
         hopeful.select("s1", "s2", "n")
-        .unionByName(in_wide)
+        .unionByName(counted)
         .groupBy("s1", "s2")
         .agg(F.sum("n").alias("n"))
     )
