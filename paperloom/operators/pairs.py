@@ -76,7 +76,10 @@ def _members(
 
 
 def restrict_to_frequent(edges: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Edges of frequent software only; a pair is never more frequent than its members."""
+    """Edges of frequent software only; a pair is never more frequent than its members.
+
+    Both are read more than once and should be written tables.
+    """
     return _members(edges, frequent.select("softwareId"), "softwareId", "left_semi")
 
 
@@ -96,6 +99,7 @@ def co_mentions(
     item_support: int = MIN_SUPPORT,
     pair_support: int = MIN_SUPPORT,
     max_fanout: int = MAX_FANOUT,
+    written: bool = False,
 ) -> DataFrame:
     """(s1, s2, n_papers) for pairs s1 < s2 named together by >= pair_support papers.
 
@@ -107,8 +111,9 @@ def co_mentions(
 
     Every step reads the edges again, so they are written once, as are the lists of frequent
     names and of wide papers. Without wide papers the second way is left out of the plan.
+    ``written`` says that ``edges`` is a table already.
     """
-    edges = stage(edges, "edges")
+    edges = edges if written else stage(edges, "edges")
     frequent = stage(min_support(papers_per_software(edges), item_support), "frequent")
     fits = fits_in_broadcast(frequent, "softwareId")
     kept = _members(edges, frequent.select("softwareId"), "softwareId", "left_semi", fits)

@@ -59,10 +59,19 @@ def profile_json(
     return profile.field_profile(totals, values, strict), values
 
 
-def extract_software(spark: SparkSession, source, out: str, strict: bool = False) -> None:
-    """JSON lines of mention documents to the mentions and software tables."""
+def extract_software(spark: SparkSession, source, out: str, strict: bool = True) -> None:
+    """JSON lines of mention documents to the mentions and software tables.
+
+    The mentions are staged between, so that the text is read and parsed once for both.
+    Unreadable lines and mentions without a paper id stop the job, or are left out if not
+    ``strict``.
+    """
     exploded = mentions.explode_mentions(typed.scan_mentions_json(spark, source, strict))
-    known = exploded.where(F.length("file") >= 36)
+    has_id = F.coalesce(F.length("file") >= 36, F.lit(False))
+    if strict:
+        message = F.concat(F.lit("mention without a paper id: "), F.coalesce("file", F.lit("")))
+        has_id = F.when(has_id, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    known = stage(exploded.where(has_id).drop("bad_body"), "mentions")
     sinks.write_tables(
         out,
         mentions=mentions.project_mentions(known),
@@ -70,7 +79,7 @@ def extract_software(spark: SparkSession, source, out: str, strict: bool = False
     )
 
 
-def extract_papers(spark: SparkSession, source, out: str, strict: bool = False) -> None:
+def extract_papers(spark: SparkSession, source, out: str, strict: bool = True) -> None:
     """JSON lines of paper documents to the papers table."""
     papers = typed.scan_papers(spark, source, strict)
     sinks.write_tables(out, papers=mentions.project_papers(papers, strict))
@@ -83,7 +92,7 @@ def count_mentions(
     table = typed.read_table(spark, folder, "mentions")
     edges = stage(pairs.distinct_edges(pairs.stop_list_filter(table)), "edges")
     frequent = pairs.min_support(pairs.papers_per_software(edges), support)
-    together = pairs.co_mentions(edges, support, support)
+    together = pairs.co_mentions(edges, support, support, written=True)
     return pairs.frequent_count(frequent), pairs.top_software(frequent), pairs.top_pairs(together)
 
 

@@ -13,7 +13,7 @@ from paperloom.functions import identifiers as ids
 from paperloom.functions.numbers import fits_float32, is_integral
 from paperloom.operators import identifiers, licences, maintenance, mentions, ordering, pairs, profile
 from paperloom.plans import jobs, views
-from paperloom.session import configure, staging_path
+from paperloom.session import configure, stage, staging_path
 from paperloom.sources import documents, sinks, typed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,8 +88,8 @@ def frequent_count(spark, sf_dir):
 @query
 def restricted_edges(spark, sf_dir):
     """Edges of names with enough papers: what enters pair counting."""
-    edges = pairs.distinct_edges(views.mentions(spark, sf_dir))
-    frequent = pairs.min_support(pairs.papers_per_software(edges), 1000)
+    edges = stage(pairs.distinct_edges(views.mentions(spark, sf_dir)), "edges")
+    frequent = stage(pairs.min_support(pairs.papers_per_software(edges), 1000), "frequent")
     return pairs.restrict_to_frequent(edges, frequent)
 
 
@@ -146,7 +146,7 @@ def mentions_per_paper(spark, sf_dir):
 
 @query
 def mentions_with_software(spark, sf_dir):
-    exploded = _exploded(spark, sf_dir)
+    exploded = stage(_exploded(spark, sf_dir).drop("bad_body"), "mentions")
     known = mentions.software_dimension(exploded, VIEW_ORDER).where("wikidataId <> ''")
     return mentions.mentions_with_software(mentions.project_mentions(exploded), known)
 
@@ -160,7 +160,7 @@ def papers_table(spark, sf_dir):
 def stored_tables(spark, sf_dir):
     """The three tables written as gzip Parquet and read back."""
     folder = staging_path(spark, "tables")
-    exploded = _exploded(spark, sf_dir)
+    exploded = stage(_exploded(spark, sf_dir).drop("bad_body"), "mentions")
     sinks.write_tables(
         folder,
         papers=papers_table(spark, sf_dir),

@@ -79,6 +79,17 @@ def test_extract_and_count_jobs(spark, tmp_path):
     assert rows(typed.read_table(spark, str(tmp_path / "out"), "papers")) == [(uid(1), 2001)]
 
 
+def test_extract_stops_on_bad_input(spark, tmp_path):
+    path = tmp_path / "x.jsonl"
+    good = json.dumps(doc(1, mention("R")))
+    for i, bad in enumerate(["{bad", json.dumps({"file": "short", "mentions": [mention("R")]})]):
+        path.write_text(good + "\n" + bad + "\n")
+        with pytest.raises(Exception, match="(?i)malformed|without a paper id"):
+            jobs.extract_software(spark, str(path), str(tmp_path / f"strict{i}"))
+        jobs.extract_software(spark, str(path), str(tmp_path / f"lax{i}"), strict=False)
+        assert rows(typed.read_table(spark, str(tmp_path / f"lax{i}"), "mentions")) == [(uid(1), "R")]
+
+
 def test_convert_mentions_job(spark, tmp_path):
     tree = tmp_path / "tree" / "ab"
     tree.mkdir(parents=True)
