@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, tiling
+from paperloom.llm import bpe, language, near_copies, tiling, toxicity, vectors
 from paperloom.llm.hashed import remainder
 
 
@@ -31,6 +31,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *vocabulary())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    learned = remainder(F.col("doc_id"), 4) != 2
+    models = toxicity.fit(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
+    return toxicity.classify(docs.withColumn("held_out", held_out), models)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,11 +51,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "accepted")
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_copies": op2_near_copies,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_language": op9_language,
+    "op10_vectors": op10_vectors,
 }
 
 ORACLES: dict[str, str] = {}
