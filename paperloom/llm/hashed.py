@@ -16,6 +16,15 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
+    """The rows of ``values`` for ``wanted``, ``missing`` where the sorted ``keys`` lack it."""
+    at, hit = find(keys, wanted)
+    out = np.empty((len(wanted), *values.shape[1:]), values.dtype)
+    out[:] = missing
+    out[hit] = values[at[hit]]
+    return out
+
+
 def row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``values[rows[i]:rows[i + 1]]``; 0 for an empty row."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
