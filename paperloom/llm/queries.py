@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, tiling, toxicity, vectors
+from paperloom.llm import bpe, language, near_copies, secrets, tiling, toxicity, vectors
 from paperloom.llm.hashed import remainder
+from paperloom.llm.spans import digest_columns
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"), size=3, threshold=85)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = digest_columns(F.col("spans"), secrets.BASE)
+    return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, *vocabulary())
@@ -57,6 +64,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_copies": op2_near_copies,
+    "op3_secrets": op3_secrets,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
