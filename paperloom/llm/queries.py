@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, secrets, tiling, toxicity, vectors
+from paperloom.llm import bpe, language, near_copies, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
+from paperloom.session import staging_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,24 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("key"),
+        F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"),
+        F.col("url").alias("target_uri"),
+        F.lit("1970-01-01T00:00:00Z").alias("warc_date"),
+        F.lit("text/html; charset=utf-8").alias("content_type"),
+        F.col("html").cast("binary").alias("payload"),
+    )
+    path = staging_path(spark, "warc")
+    warc.write_warc(warc.with_revisits(pages), path)
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    return warc.read_warc(spark, path).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    )
+
+
 def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"), size=3, threshold=85)
 
@@ -63,6 +82,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_near_copies": op2_near_copies,
     "op3_secrets": op3_secrets,
     "op5_bpe": op5_bpe,
@@ -72,4 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vectors": op10_vectors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND first IS DISTINCT FROM page_id AND first IS NOT NULL
+                    THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
+        FROM q""",
+}
