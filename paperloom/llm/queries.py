@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, secrets, tiling, toxicity, vectors, warc
+from paperloom.llm import bpe, language, near_copies, scoring, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
 from paperloom.session import staging_path
@@ -52,6 +52,14 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
 
 
+def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    model = scoring.fit(docs.where(~held_out))
+    scored = scoring.score(docs.withColumn("held_out", held_out), model)
+    return scored.withColumn("train_tokens", F.lit(model.lexicon.tokens).cast("long"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip(docs, *vocabulary())
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_copies": op2_near_copies,
     "op3_secrets": op3_secrets,
+    "op4_scoring": op4_scoring,
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,

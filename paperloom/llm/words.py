@@ -130,10 +130,12 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, blank: np
     return mix(out)
 
 
-def words(texts: pa.Array, blank: np.ndarray = BLANK, fold: np.ndarray = FOLD) -> Iterator[tuple[int, int, Words]]:
+def words(
+    texts: pa.Array, blank: np.ndarray = BLANK, fold: np.ndarray = FOLD, size: int = SLICE
+) -> Iterator[tuple[int, int, Words]]:
     """``(first row, row after the last, words)`` for slices of a text column."""
     data, offsets = buffer_of(texts)
-    for at, to in slices(data, offsets):
+    for at, to in slices(data, offsets, size):
         part = fold[data[offsets[at] : offsets[to]]]
         own = offsets[at : to + 1] - offsets[at]
         starts, ends = bounds(part, own, blank)
