@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, scoring, secrets, tiling, toxicity, vectors, warc
+from paperloom.llm import bpe, language, near_copies, personal, scoring, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
 from paperloom.session import staging_path
@@ -77,6 +77,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = digest_columns(F.col("spans"), personal.BASE)
+    return found.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = remainder(F.col("doc_id"), 5) == 0
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_personal": op8_personal,
     "op9_language": op9_language,
     "op10_vectors": op10_vectors,
 }
