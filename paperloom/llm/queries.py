@@ -120,4 +120,45 @@ ORACLES: dict[str, str] = {
                     THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND first IS DISTINCT FROM page_id THEN first END AS refers_to
         FROM q""",
+    "op2_near_copies": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                END AS s
+            FROM w),
+        e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+            FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+        k AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        r(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.doc_id, k.b FROM r JOIN k ON r.other = k.a),
+        m AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1)
+        SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM s JOIN m USING (doc_id)""",
+    "op10_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        k AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(vec_id, other) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, k.b FROM r JOIN k ON r.other = k.a),
+        m AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY 1),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM k GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM m LEFT JOIN n USING (vec_id)""",
 }

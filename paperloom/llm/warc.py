@@ -317,7 +317,9 @@ class WarcReader(DataSourceReader):
             out += [Range(i.path, b, e) for b, e in zip(cuts, [*cuts[1:], i.size], strict=True) if i.size]
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an archive without records
+            return
         files, _ = opened(self.path)
         kinds = {n: pa.string() for n in self.columns} | {"payload": pa.binary(), "payload_bytes": pa.int64()}
         schema = pa.schema([(n, kinds[n]) for n in self.columns])
