@@ -14,15 +14,21 @@ def licence_counts(stored: DataFrame) -> DataFrame:
 
 
 def zero_filled_licences(counts: DataFrame) -> DataFrame:
-    """(code, label, n) for all 17 licences, also those without records.
+    """(code, label, n) for all 17 licences, also those without records, and a row without a
+    label for each other code that occurs, NULL included: ``n`` sums to the number of records.
 
     Rows of the 17 codes are all that is sent to the dimension.
     """
     dimension = licence_dimension(counts.sparkSession)
-    counts = counts.where(F.col("license").isin([code for code, _, _ in LICENCES]))
-    return dimension.join(
-        F.broadcast(counts), dimension["code"] == counts["license"], "left"
-    ).select("code", "label", F.coalesce("n", F.lit(0)).alias("n"))
+    listed = F.coalesce(F.col("license").isin([code for code, _, _ in LICENCES]), F.lit(False))
+    known = counts.where(listed)
+    filled = dimension.join(F.broadcast(known), dimension["code"] == known["license"], "left").select(
+        "code", "label", F.coalesce("n", F.lit(0)).alias("n")
+    )
+    others = counts.where(~listed).select(
+        F.col("license").cast("int").alias("code"), F.lit(None).cast("string").alias("label"), "n"
+    )
+    return filled.unionByName(others)
 
 
 def licence_histogram(stored: DataFrame) -> DataFrame:

@@ -64,6 +64,12 @@ def project_papers(papers: DataFrame, strict: bool = False) -> DataFrame:
     return papers.select(files.paper_id(F.col("file")).alias("uuid"), "year")
 
 
+def rejected_papers(papers: DataFrame) -> DataFrame:
+    """The rows that ``project_papers`` drops: no or a bad year, no id, an unreadable body."""
+    fits = F.col("year").between(0, MAX_YEAR) & files.paper_id(F.col("file")).isNotNull()
+    return papers.where(~F.coalesce(fits, F.lit(False)))
+
+
 def software_dimension(
     exploded: DataFrame, order: Sequence[str] = (*SOURCE_ORDER, "mention_pos")
 ) -> DataFrame:

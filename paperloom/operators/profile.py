@@ -6,7 +6,7 @@ truncated, and the value sits in the column of its kind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.numbers import fits_float32, is_integral, number_text, storage_type
@@ -14,21 +14,48 @@ from paperloom.functions.once import once
 from paperloom.session import fits_in_broadcast, stage
 
 MAX_ENUM = 20
-MAX_DEPTH = 12
+# Levels that are opened in one pass; rows that still hold a container then go on.
+LEVELS = 8
+# Number of keys that one path is dealt over in a join.
+PIECES = 64
 
 
-def flatten_json(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_json(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Leaves of the VARIANT column ``doc``; other columns of ``docs`` are kept.
 
     An object member adds ``.key`` to the path, an array element ``[]``; empty containers
-    give no row. One narrow pass: each level opens the containers that are still there and
-    passes leaves on. What is still a container after the last level is kept as
-    ``truncated``, with its JSON text in ``str``.
+    give no row. A narrow pass opens ``LEVELS`` levels and passes leaves on. What still is a
+    container then is staged and goes through the next pass, until none is left; so
+    documents may be of any depth, and flat ones cost one pass. With ``max_depth``,
+    containers below that level are kept as ``truncated``, with their JSON text in ``str``.
     """
     keep = [c for c in docs.columns if c not in ("doc", "body")]
+    rows = docs.select(*keep, F.lit("").alias("path"), F.col("doc").alias("v"))
+    left, leaves = max_depth, None
+    while True:
+        levels = LEVELS if left is None else min(LEVELS, left)
+        opened = once(_opened(rows, keep, levels), schema=F.schema_of_variant("v"))
+        if left is not None:
+            left -= levels
+        done = left == 0
+        found = opened if done else opened.where(~_is_container(F.col("schema")))
+        found = found.select(*keep, "path", *_leaf_columns())
+        leaves = found if leaves is None else leaves.unionByName(found)
+        if done:
+            return leaves
+        deeper = opened.where(_is_container(F.col("schema"))).select(*keep, "path", F.to_json("v").alias("v"))
+        deeper = stage(deeper, "deeper")
+        if deeper.isEmpty():
+            return leaves
+        rows = once(deeper, v=F.parse_json("v")).select(*keep, "path", "v")
+
+
+def _opened(rows: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    """(path, v): containers opened for some levels. The empty ones, told by their schema
+    alone, leave no row; a leaf's schema is as cheap, so passing on costs little per level."""
     kept = "".join(f"`{c}`, " for c in keep)
-    query = f"SELECT {kept}'' AS path, doc AS v FROM {{docs}}"
-    for _ in range(max_depth):
+    query = "SELECT * FROM {rows}"
+    for _ in range(levels):
         query = f"""
             SELECT {kept}
                    CASE WHEN e.key IS NOT NULL THEN concat(path, '.', e.key)
@@ -36,19 +63,21 @@ def flatten_json(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
                         ELSE path END AS path,
                    coalesce(e.value, v) AS v
             FROM ({query}), LATERAL variant_explode_outer(v) AS e
-            WHERE NOT (e.value IS NULL AND to_json(v) IN ('{{{{}}}}', '[]'))"""
-    level = docs.sparkSession.sql(query, docs=docs)
-    return once(level, schema=F.schema_of_variant("v")).select(*keep, "path", *_leaf_columns())
+            WHERE NOT (e.value IS NULL AND schema_of_variant(v) IN ('OBJECT<>', 'ARRAY<VOID>'))"""
+    return rows.sparkSession.sql(query, rows=rows)
 
 
-def _leaf_columns():
+def _is_container(schema: Column) -> Column:
+    return schema.startswith("OBJECT<") | schema.startswith("ARRAY<")
+
+
+def _leaf_columns() -> list[Column]:
     schema = F.col("schema")
-    container = schema.startswith("OBJECT<") | schema.startswith("ARRAY<")
     kind = (
         F.when(schema == "VOID", "null")
         .when(schema == "BOOLEAN", "bool")
         .when(schema == "STRING", "string")
-        .when(container, "truncated")
+        .when(_is_container(schema), "truncated")
         .otherwise("number")
     )
     # Each value is read only from its own kind, so no cast is attempted that fails.
@@ -111,7 +140,9 @@ def field_values(leaves: DataFrame, totals: DataFrame) -> DataFrame:
 
     Only leaves of few-valued paths are grouped by value, which leaves little to shuffle.
     The list of these paths goes to every task if it is small; otherwise, as with documents
-    whose keys are data, values are grouped first and the groups are joined with the list.
+    whose keys are data, the leaves are dealt over ``PIECES`` keys per path and the list is
+    repeated that often, so other paths' values are left out before any grouping and a path
+    that most leaves have does not meet in one task.
     """
     few = totals.where("few").select("path", "kind", "integral")
     value = ["path", "kind", "num", "str"]
@@ -123,8 +154,13 @@ def field_values(leaves: DataFrame, totals: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("n"))
         )
     else:
-        groups = valued.groupBy(*value).agg(F.count("*").alias("n"))
-        counted = groups.join(few, ["path", "kind"])
+        pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
+        dealt = valued.withColumn("_piece", (F.rand(1) * PIECES).cast("int"))
+        counted = (
+            dealt.join(few.withColumn("_piece", pieces), ["path", "kind", "_piece"])
+            .groupBy(*value, "integral")
+            .agg(F.count("*").alias("n"))
+        )
     # few-valued paths have a few dozen groups at most, whatever their row count
     per_path = Window.partitionBy("path", "kind")
     text = F.when(F.col("kind") == "string", F.col("str")).otherwise(

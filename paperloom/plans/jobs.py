@@ -40,16 +40,26 @@ def removable(spark: SparkSession, root: str) -> DataFrame:
 
 
 def profile_path(
-    spark: SparkSession, path: str, max_depth: int = profile.MAX_DEPTH, strict: bool = False
+    spark: SparkSession,
+    path: str,
+    max_depth: int | None = None,
+    strict: bool = False,
+    spread: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Profile of one .jsonl or .jsonl.gz file, or of the shard files of a directory."""
+    """Profile of one .jsonl or .jsonl.gz file, or of the shard files of a directory.
+
+    ``spread`` deals the lines of gzip files, each read in one task, over more tasks.
+    """
     one_file = path.endswith((".jsonl", ".jsonl.gz"))
-    lines = documents.scan_jsonl(spark, path) if one_file else documents.scan_shards(spark, path)
+    if one_file:
+        lines = documents.scan_jsonl(spark, path, spread)
+    else:
+        lines = documents.scan_shards(spark, path, spread=spread)
     return profile_json(lines, max_depth, strict)
 
 
 def profile_json(
-    lines: DataFrame, max_depth: int = profile.MAX_DEPTH, strict: bool = False
+    lines: DataFrame, max_depth: int | None = None, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(field_profile, field_values) of JSON bodies."""
     check = documents.fail_on_malformed if strict else documents.drop_malformed

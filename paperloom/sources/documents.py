@@ -1,9 +1,9 @@
 """Readers for document trees and JSON lines, and the checks on what they hold.
 
 A document frame has the text in ``body`` plus the columns that say where it came from.
-Source order is the order of ``(file_name, block_start, line_pos)``: rows of one file are
+Source order is the order of ``(file_path, block_start, line_pos)``: rows of one file are
 numbered inside each block of the file, so the order does not depend on how Spark packs
-blocks into tasks.
+blocks into tasks, and files of one name in two folders do not tie.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from paperloom.functions import files
 from paperloom.functions.once import once
 
-SOURCE_ORDER = ("file_name", "block_start", "line_pos")
+SOURCE_ORDER = ("file_path", "block_start", "line_pos")
 SHARD_NAME = r"[0-9a-f]{2}\.software\.jsonl\.gz"
 
 
@@ -60,13 +60,15 @@ def scan_tree(spark: SparkSession, root: str, shards: Iterable[str] | None = Non
     return described(raw, root)
 
 
-def list_documents(spark: SparkSession, root: str) -> DataFrame:
+def list_documents(spark: SparkSession, root: str, shards: Iterable[str] | None = None) -> DataFrame:
     """``scan_documents`` without the bodies: a listing that opens no file."""
+    base = root.rstrip("/")
+    paths = [f"{base}/{name}" for name in shards] if shards is not None else [root]
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .load(root)
+        .load(paths)
     )
     return (
         described(listed.withColumn("value", F.lit("")), root)
@@ -88,7 +90,7 @@ def described(raw: DataFrame, root: str) -> DataFrame:
 
 
 def scan_jsonl(spark: SparkSession, path, spread: int | None = None, **options) -> DataFrame:
-    """JSON lines, plain or gzip: (file_name, block_start, line_pos, body).
+    """JSON lines, plain or gzip: (file_path, block_start, line_pos, body).
 
     ``path`` is a file, a directory, or a list of them (read as one stream of rows).
     A gzip file is one task however large it is; ``spread`` redistributes its lines when
@@ -98,7 +100,7 @@ def scan_jsonl(spark: SparkSession, path, spread: int | None = None, **options)
         spark.read.options(**options)
         .text(path)
         .select(
-            F.col("_metadata.file_name").alias("file_name"),
+            F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("line_pos"),
             F.col("value").alias("body"),
@@ -108,7 +110,9 @@ def scan_jsonl(spark: SparkSession, path, spread: int | None = None, **options)
     return lines.repartition(spread) if spread else lines
 
 
-def scan_shards(spark: SparkSession, root: str, name_regex: str = SHARD_NAME) -> DataFrame:
+def scan_shards(
+    spark: SparkSession, root: str, name_regex: str = SHARD_NAME, spread: int | None = None
+) -> DataFrame:
     """JSON lines of the shard files below ``root``.
 
     The pattern may match anywhere in a name and is asked of every directory on the way too.
@@ -119,12 +123,13 @@ def scan_shards(spark: SparkSession, root: str, name_regex: str = SHARD_NAME) ->
         .text(root)
         .where(F.forall(names, lambda part: part.rlike(name_regex)))
     )
-    return raw.select(
-        F.col("_metadata.file_name").alias("file_name"),
+    lines = raw.select(
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_pos"),
         F.col("value").alias("body"),
     ).where(F.trim("body") != "")
+    return lines.repartition(spread) if spread else lines
 
 
 def scan_merged(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def bodies(spark, docs):
     """Documents as a frame of JSON text."""
     rows = [(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)]
     return spark.createDataFrame(rows, "line_pos BIGINT, body STRING").selectExpr(
-        "'f' AS file_name", "0L AS block_start", "line_pos", "body"
+        "'f' AS file_path", "0L AS block_start", "line_pos", "body"
     )
 
 

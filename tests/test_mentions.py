@@ -35,7 +35,7 @@ def test_explode_keeps_every_mention(spark):
 
 def test_first_mention_describes_the_software(spark):
     a = bodies(spark, [doc(1, mention("R", "Q1", "env"), mention("R", "Q2")), doc(2, mention("S"))])
-    b = bodies(spark, [doc(3, mention("S", "Q9"), mention("R", "Q0"))]).withColumn("file_name", F.lit("a"))
+    b = bodies(spark, [doc(3, mention("S", "Q9"), mention("R", "Q0"))]).withColumn("file_path", F.lit("a"))
     exploded = mentions.explode_mentions(typed.decode_mentions(a.unionByName(b)))
     # file "a" is before file "f", whatever the order of rows
     assert rows(mentions.software_dimension(exploded.repartition(3))) == [("R", "Q0", ""), ("S", "Q9", "")]

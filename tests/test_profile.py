@@ -13,7 +13,7 @@ from paperloom.plans import jobs
 from paperloom.sources import documents
 
 
-def leaves(spark, docs, depth=profile.MAX_DEPTH):
+def leaves(spark, docs, depth=None):
     return profile.flatten_json(documents.drop_malformed(bodies(spark, docs)).select("doc"), depth)
 
 
