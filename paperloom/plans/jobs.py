@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,29 +14,84 @@ from paperloom.session import stage
 
 
 def compact(
-    spark: SparkSession, root: str, out: str, kinds: Iterable[str] | None = None
+    spark: SparkSession,
+    root: str,
+    out: str,
+    kinds: Iterable[str] | None = None,
+    shards: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Tree of JSON files to gzip JSON lines per shard and kind. Returns the rejects."""
-    docs = documents.parsed(documents.scan_documents(spark, root, kinds))
+    """Tree of JSON files to gzip JSON lines per shard and kind. Returns the rejects.
+
+    The files are read once: rejects are staged beside the output of the same pass over the
+    staged texts, so they belong to the same state of the tree.
+    """
+    read = stage(documents.scan_documents(spark, root, kinds, shards), "documents")
+    docs = documents.parsed(read)
     sinks.write_merged(documents.with_provenance(documents.drop_malformed(docs)), out)
     return documents.rejects(docs)
 
 
-def pending(spark: SparkSession, root: str, merged: str) -> DataFrame:
+def compact_new(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    rejects: str,
+    kinds: Iterable[str] | None = None,
+    shards: Iterable[str] | None = None,
+) -> None:
+    """The same for documents that ``out`` does not have yet; it may not exist.
+
+    What is done is what is in the output: a document counts as merged when its (paper_id,
+    kind) is there, whatever the age of its file. Run it for one range of ``shards`` after the
+    other on a large tree. Unreadable documents go to the Parquet table ``rejects``, once.
+    """
+    append_new(documents.scan_documents(spark, root, kinds, shards), out, rejects)
+
+
+def append_new(docs: DataFrame, out: str, rejects: str) -> None:
+    """Append the documents that ``out`` lacks, and list the unreadable ones that ``rejects``
+    lacks. Only the shards of ``docs`` are looked up in the output."""
+    spark = docs.sparkSession
+    docs = stage(docs, "documents")
+    shards = [r["shard"] for r in docs.select("shard").distinct().collect()]
+    if _exists(spark, out):
+        merged = documents.scan_merged(spark, out).where(F.col("shard").isin(shards))
+        docs = maintenance.pending_documents(docs, maintenance.merged_keys(merged))
+    # staged before anything is appended to what decides which documents are new
+    read = documents.parsed(stage(docs, "new-documents"))
+    bad = documents.rejects(read)
+    if _exists(spark, rejects):
+        bad = bad.join(spark.read.parquet(rejects).select("shard", "file"), ["shard", "file"], "left_anti")
+    stage(bad, "rejects").write.mode("append").parquet(rejects)
+    sinks.write_merged(documents.with_provenance(documents.drop_malformed(read)), out, mode="append")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
+def pending(
+    spark: SparkSession, root: str, merged: str, shards: Iterable[str] | None = None
+) -> DataFrame:
     """Source files that compaction has not taken in yet."""
-    source = documents.list_documents(spark, root)
+    source = documents.list_documents(spark, root, shards)
     return maintenance.pending_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
 
 
-def processed(spark: SparkSession, root: str, merged: str) -> DataFrame:
+def processed(
+    spark: SparkSession, root: str, merged: str, shards: Iterable[str] | None = None
+) -> DataFrame:
     """Source files that may be removed, as their content is in the merged output."""
-    source = documents.list_documents(spark, root)
+    source = documents.list_documents(spark, root, shards)
     return maintenance.processed_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
 
 
-def removable(spark: SparkSession, root: str) -> DataFrame:
+def removable(spark: SparkSession, root: str, shards: Iterable[str] | None = None) -> DataFrame:
     """Source files in shard directories whose name is that of a known kind."""
-    listed = documents.list_documents(spark, root)
+    listed = documents.list_documents(spark, root, shards)
     return maintenance.removable_by_name(listed.where("shard <> ''"))
 
 
