@@ -83,12 +83,21 @@ def restrict_to_frequent(edges: DataFrame, frequent: DataFrame) -> DataFrame:
     return _members(edges, frequent.select("softwareId"), "softwareId", "left_semi")
 
 
-def _pair_up(edges: DataFrame) -> DataFrame:
-    """(s1, s2, n): pairs s1 < s2 inside a paper, summed while they are made."""
-    a = edges.select("paperId", F.col("softwareId").alias("s1"))
-    b = edges.select(F.col("paperId").alias("_p"), F.col("softwareId").alias("s2"))
+def _pair_up(edges: DataFrame, share: int | None = None) -> DataFrame:
+    """(s1, s2, n): pairs s1 < s2 inside a paper, summed while they are made.
+
+    With ``share``, edges have the ``degree`` of their paper, and the first names of a paper
+    are dealt over one piece per ``share`` of them, each of which gets all second names: the
+    pairs of a wide paper come from many tasks, and the copies are fewer than its pairs.
+    """
+    pieces = F.ceil(F.col("degree") / share).cast("int") if share else F.lit(1)
+    piece = F.pmod(F.xxhash64("softwareId"), pieces).cast("int")
+    a = edges.select("paperId", F.col("softwareId").alias("s1"), piece.alias("piece"))
+    copies = F.explode(F.sequence(F.lit(0), pieces - 1))
+    b = edges.select(F.col("paperId").alias("_p"), F.col("softwareId").alias("s2"), copies.alias("_piece"))
+    same = (F.col("paperId") == F.col("_p")) & (F.col("piece") == F.col("_piece"))
     return (
-        a.join(b, (F.col("paperId") == F.col("_p")) & (F.col("s1") < F.col("s2")))
+        a.join(b, same & (F.col("s1") < F.col("s2")))
         .groupBy("s1", "s2")
         .agg(F.count("*").alias("n"))
     )
@@ -129,14 +138,14 @@ def co_mentions(
         narrow = _members(kept, wide.select("paperId"), "paperId", "left_anti", fits)
         narrow_pairs = _pair_up(narrow)
         wide_edges = stage(_members(kept, wide, "paperId", "inner", fits), "wide-edges")
-        pairs = _with_wide_papers(narrow_pairs, wide_edges, n_wide, pair_support)
+        pairs = _with_wide_papers(narrow_pairs, wide_edges, n_wide, pair_support, max_fanout)
     return pairs.where(F.col("n") >= pair_support).select(
         "s1", "s2", F.col("n").alias("n_papers")
     )
 
 
 def _with_wide_papers(
-    narrow_pairs: DataFrame, wide_edges: DataFrame, n_wide: int, support: int
+    narrow_pairs: DataFrame, wide_edges: DataFrame, n_wide: int, support: int, max_fanout: int
 ) -> DataFrame:
     """Add to each narrow count the number of wide papers that hold the pair.
 
@@ -152,19 +161,26 @@ def _with_wide_papers(
        per pair, whatever the size of the papers.
     """
     per_name = stage(papers_per_software(wide_edges), "wide-names")
-    widest_first = Window.partitionBy("softwareId").orderBy(F.desc("degree"), "paperId")
-    # Spark cuts every task's rows to support - 1 per name before the shuffle
+    # two steps: a name's papers are numbered in pieces, and only the first of each piece
+    # together, so that no task sorts all papers of a hot name
+    piece = F.xxhash64("paperId").bitwiseAND(F.lit(PIECES - 1))
+    order = (F.desc("degree"), "paperId")
+    in_piece = Window.partitionBy("softwareId", "piece").orderBy(*order)
+    widest_first = Window.partitionBy("softwareId").orderBy(*order)
     aside = stage(
-        wide_edges.withColumn("place", F.row_number().over(widest_first))
+        wide_edges.withColumn("piece", piece)
+        .withColumn("place", F.row_number().over(in_piece))
+        .where(F.col("place") < support)
+        .withColumn("place", F.row_number().over(widest_first))
         .where(F.col("place") < support)
         .select("paperId", "softwareId"),
         "widest-papers",
     )
-    wide_edges = wide_edges.select("paperId", "softwareId")
     known = narrow_pairs
     if n_wide >= support:
         rest = stage(wide_edges.join(aside, ["paperId", "softwareId"], "left_anti"), "rest")
-        known = narrow_pairs.unionByName(_pair_up(rest)).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
+        of_rest = _pair_up(rest, max_fanout)
+        known = narrow_pairs.unionByName(of_rest).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
 
     first = per_name.select(F.col("softwareId").alias("s1"), F.col("n_papers").alias("w1"))
     second = per_name.select(F.col("softwareId").alias("s2"), F.col("n_papers").alias("w2"))

@@ -125,7 +125,15 @@ ORACLES["co_mentions_wide"] = _pairs(
     f"""edges AS (SELECT DISTINCT {_uuid('o_custkey')} AS "paperId", p_name AS "softwareId"
     FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)""",
     100,
+    320,
+)
+ORACLES["co_mentions_hot"] = _pairs(
+    f"""n AS (SELECT {_uuid('l_orderkey')} AS "paperId", unnest(['flag ' || l_returnflag,
+      'status ' || l_linestatus, 'line ' || l_linenumber,
+      'quantity ' || CAST(floor(l_quantity / 10) AS INTEGER)]) AS "softwareId" FROM lineitem),
+    edges AS (SELECT DISTINCT * FROM n)""",
     100,
+    1500,
 )
 ORACLES["top_pairs"] = _pairs(_EDGES, 100, 100) + "ORDER BY n_papers DESC, s1, s2 LIMIT 20"
 
@@ -145,6 +153,8 @@ WITH {_ITEMS} SELECT paper, p_name || ';' || split_part(p_name, ' ', 2) AS names
 FROM items WHERE l_discount <> 0.1
 """
 
+ORACLES["paper_mentions_stored"] = ORACLES["mentions_per_paper"]
+
 ORACLES["mentions_with_software"] = f"""
 WITH {_FOUND}, {_SOFTWARE}
 SELECT paper AS "paperId", f.software AS "softwareId", s."normalizedForm", s."wikidataId",
@@ -217,6 +227,19 @@ SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind, count(*) AS
 FROM items WHERE l_discount <> 0.1 GROUP BY 1, 2
 """
 
+ORACLES["two_kind_merge"] = f"""
+WITH {_ITEMS}
+SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind, count(*) AS n
+FROM items WHERE l_discount <> 0.1 AND {_KIND.format('name')} IN ('paper', 'software') GROUP BY 1, 2
+"""
+
+ORACLES["compacted_in_two_runs"] = f"""
+WITH {_ITEMS}
+SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind,
+       count(*) FILTER (l_discount <> 0.1) AS n, count(*) FILTER (l_discount = 0.1) AS n_rejected
+FROM items GROUP BY 1, 2
+"""
+
 # --- profile ------------------------------------------------------------------------------
 
 # Leaves of the JSON column `body` of a table `docs`.
@@ -243,6 +266,13 @@ SELECT path, kind, count(*) AS n, CAST(sum(length(str)) AS BIGINT) AS characters
 FROM leaves GROUP BY 1, 2
 """
 
+ORACLES["json_deep_paths"] = """
+WITH t AS (SELECT repeat('.d', CAST(conv_id % 26 + 15 AS INTEGER)) AS top, * FROM conversations)
+SELECT top || '.no' AS path, 'number' AS kind, count(*) AS n, CAST(sum(turn) AS DOUBLE) AS total,
+       CAST(NULL AS BIGINT) AS characters FROM t GROUP BY 1
+UNION ALL SELECT top || '.role', 'string', count(*), NULL, CAST(sum(length(role)) AS BIGINT) FROM t GROUP BY 1
+"""
+
 _EVENTS = f"""
 docs AS (
   SELECT '{{"event":' || to_json({{'event_type': event_type, 'value': value, 'user_id': user_id,
@@ -427,9 +457,15 @@ WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (
   PARTITION BY paper ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS place FROM items)
 SELECT paper, {_ORDER} FROM r WHERE place = 1
 """
-ORACLES["sorted_repeat_last"] = f"WITH {_ITEMS} SELECT paper FROM items"
+ORACLES["sorted_repeat_last"] = f"""
+WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (
+  PARTITION BY paper ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS place FROM items)
+SELECT r.name AS file, i.l_linenumber, i.l_partkey, i.l_extendedprice
+FROM items i JOIN r ON r.paper = i.paper AND r.place = 1
+"""
 ORACLES["sorted_jsonl"] = f"""
-WITH {_ITEMS} SELECT name AS file, count(*) AS n FROM items WHERE l_discount <> 0.1 GROUP BY 1
+WITH {_ITEMS} SELECT row_number() OVER (ORDER BY paper) - 1 AS position, paper
+FROM items WHERE l_discount <> 0.1
 """
 
 _WORK = f"""{_ITEMS},
@@ -446,8 +482,8 @@ WITH {_WORK} SELECT file, paper_id, kind, shard, l_partkey FROM listed s WHERE E
 """
 ORACLES["pending_shards"] = f"""
 WITH {_WORK}, finished AS (
-  SELECT shard FROM merged WHERE shard < '80' AND kind IN ('jats', 'latex')
+  SELECT substr(paper_id, 1, 4) AS shard FROM merged WHERE kind IN ('jats', 'latex')
   GROUP BY 1 HAVING count(DISTINCT kind) = 2)
-SELECT shard, count(*) AS n FROM listed
-WHERE kind IN ('jats', 'latex') AND shard NOT IN (SELECT shard FROM finished) GROUP BY 1
+SELECT substr(paper_id, 1, 4) AS shard, count(*) AS n FROM listed
+WHERE kind IN ('jats', 'latex') AND substr(paper_id, 1, 4) NOT IN (SELECT shard FROM finished) GROUP BY 1
 """

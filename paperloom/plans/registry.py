@@ -103,7 +103,14 @@ def co_mentions(spark, sf_dir):
 def co_mentions_wide(spark, sf_dir):
     """Papers with dozens of names; most take the way for wide papers."""
     edges = pairs.distinct_edges(views.customer_mentions(spark, sf_dir))
-    return pairs.co_mentions(edges, item_support=100, pair_support=100, max_fanout=24)
+    return pairs.co_mentions(edges, item_support=100, pair_support=320, max_fanout=24)
+
+
+@query
+def co_mentions_hot(spark, sf_dir):
+    """A support beyond what Spark cuts in a window before its shuffle."""
+    edges = pairs.distinct_edges(views.feature_mentions(spark, sf_dir))
+    return pairs.co_mentions(edges, item_support=100, pair_support=1500, max_fanout=8)
 
 
 @query
@@ -144,6 +151,19 @@ def mentions_per_paper(spark, sf_dir):
     )
 
 
+@query
+def paper_mentions_stored(spark, sf_dir):
+    """The lists of names per paper, written as Parquet and read back."""
+    path = staging_path(spark, "paper-mentions")
+    docs = typed.decode_mentions(views.mention_documents(spark, sf_dir))
+    sinks.write_paper_mentions(mentions.mentions_per_paper(docs.where(F.col("bad_body").isNull())), path)
+    return spark.read.parquet(path).select(
+        ids.bytes_to_uuid(F.col("id")).alias("paper"),
+        F.array_join("mentions.normalized_form", ";").alias("names"),
+        F.size("mentions").alias("n"),
+    )
+
+
 @query
 def mentions_with_software(spark, sf_dir):
     exploded = stage(_exploded(spark, sf_dir).drop("bad_body"), "mentions")
@@ -268,6 +288,34 @@ def merged_shards(spark, sf_dir):
     )
 
 
+@query
+def two_kind_merge(spark, sf_dir):
+    """Paper metadata and plain software documents only, compacted and read back."""
+    path = staging_path(spark, "two-kinds")
+    docs = views.tree_documents(spark, sf_dir).withColumn("kind", files.classify_kind(F.col("file")))
+    sinks.write_paper_and_software(documents.with_provenance(documents.drop_malformed(docs)), path)
+    return documents.scan_merged(spark, path).groupBy("shard", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def compacted_in_two_runs(spark, sf_dir):
+    """Half of the papers first, then all: what is merged already is not merged again."""
+    out, bad = staging_path(spark, "two-runs"), staging_path(spark, "two-runs-rejects")
+    name = F.col("file")
+    docs = views.tree_documents(spark, sf_dir).withColumns(
+        {"kind": files.classify_kind(name), "paper_id": files.paper_id(name)}
+    )
+    jobs.append_new(docs.where(F.crc32(F.col("paper_id").cast("binary")) % 2 == 0), out, bad)
+    jobs.append_new(docs, out, bad)
+    merged = documents.scan_merged(spark, out).groupBy("shard", "kind")
+    rejected = spark.read.parquet(bad).groupBy("shard", "kind")
+    return (
+        merged.agg(F.count("*").alias("n"))
+        .join(rejected.agg(F.count("*").alias("n_rejected")), ["shard", "kind"], "full")
+        .select("shard", "kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
+    )
+
+
 # --- profile -----------------------------------------------------------------------------------
 
 
@@ -284,6 +332,16 @@ def json_nested_paths(spark, sf_dir):
     )
 
 
+@query
+def json_deep_paths(spark, sf_dir):
+    """Turns wrapped in 15 to 40 objects."""
+    docs = documents.drop_malformed(views.deep_documents(spark, sf_dir))
+    leaves = profile.flatten_json(docs.select("doc"))
+    return leaves.groupBy("path", "kind").agg(
+        F.count("*").alias("n"), F.sum("num").alias("total"), F.sum(F.length("str")).alias("characters")
+    )
+
+
 @query
 def json_field_profile(spark, sf_dir):
     return jobs.profile_json(views.event_documents(spark, sf_dir))[0]
@@ -416,17 +474,18 @@ def sorted_last_wins(spark, sf_dir):
 @query
 def sorted_repeat_last(spark, sf_dir):
     ordered = ordering.sort_by_uuid(_keyed_items(spark, sf_dir), ITEM_ORDER, "repeat_last")
-    return ordered.select(F.substring("file", 1, 36).alias("paper"))
+    return ordered.select("file", *ITEM_ORDER)
 
 
 @query
 def sorted_jsonl(spark, sf_dir):
-    """Sorted gzip JSON lines, read back and counted per file key."""
+    """Sorted gzip JSON lines, read back in source order: the paper at each position."""
     path = staging_path(spark, "sorted")
     docs = documents.with_provenance(documents.drop_malformed(views.tree_documents(spark, sf_dir)))
     sinks.write_sorted_jsonl(ordering.sort_by_uuid(docs, ("body",)), path)
     found = documents.scan_jsonl(spark, path).withColumn("file", documents.file_key(F.col("body")))
-    return found.groupBy("file").agg(F.count("*").alias("n"))
+    read = ordering.with_position(found.orderBy(*documents.SOURCE_ORDER))
+    return read.select("position", F.substring("file", 1, 36).alias("paper"))
 
 
 def _sources_and_merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -454,7 +513,9 @@ def processed_documents(spark, sf_dir):
 
 @query
 def pending_shards(spark, sf_dir):
+    """Shards of 16 bits, so that some lack a kind."""
     source, merged = _sources_and_merged(spark, sf_dir)
-    done = merged.where(F.col("shard") < "80").select("shard", "kind")
+    source, merged = (t.withColumn("shard", F.substring("paper_id", 1, 4)) for t in (source, merged))
+    done = merged.select("shard", "kind")
     left = maintenance.pending_shards(source, done, ("jats", "latex"))
     return left.groupBy("shard").agg(F.count("*").alias("n"))

@@ -115,6 +115,17 @@ def customer_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_uuid(items, "paperId", "o_custkey").select("paperId", F.col("p_name").alias("softwareId"))
 
 
+def feature_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paperId, softwareId): a few names that thousands of orders have, several each."""
+    names = F.array(
+        F.concat(F.lit("flag "), "l_returnflag"),
+        F.concat(F.lit("status "), "l_linestatus"),
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")),
+        F.concat(F.lit("quantity "), (F.col("l_quantity") / 10).cast("int").cast("string")),
+    )
+    return line_items(spark, sf_dir).select(F.col("paper").alias("paperId"), F.explode(names).alias("softwareId"))
+
+
 def paper_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, body): paper metadata. Years of urgent orders do not fit; of low ones are missing."""
     year = (
@@ -189,6 +200,14 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(table(spark, sf_dir, "events"), body=text).select("body")
 
 
+def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body): turns, each in 15 to 40 nested objects, the depth by conversation."""
+    depth = (F.col("conv_id") % 26 + 15).cast("int")
+    leaf = F.to_json(F.struct(F.col("turn").alias("no"), "role"))
+    text = F.concat(F.repeat(F.lit('{"d":'), depth), leaf, F.repeat(F.lit("}"), depth))
+    return once(table(spark, sf_dir, "conversations"), body=text).select("body")
+
+
 def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(body): each turn with its whole text as lines of words."""
     lines = F.transform(F.split("text", "\n"), lambda line: F.split(line, " "))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +27,12 @@ CLUSTER_CONF = {
 }
 
 
-# Temporary folders of local sessions without spark.checkpoint.dir, by application.
+# Temporary folders of local sessions that come without spark.checkpoint.dir, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
+# The folder of the job that runs now, below the shared one; see ``job_folder``.
+_JOB: ContextVar[str] = ContextVar("job", default="")
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set CLUSTER_CONF on a running session; all of it may be changed at run time."""
@@ -35,7 +42,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+    """A session for tests and the benchmark, with a staging folder of its own; clusters bring
+    their own session and folder."""
+    extra.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paperloom-"))
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("paperloom")
@@ -53,7 +62,7 @@ def local_session(cores: str = "8", partitions: int = 8, **extra: str) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    A local master without the setting, as in a notebook, gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -66,23 +75,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Rows of a source that is too small to be read by every core, dealt out evenly.
 
-    A source of at least SPLIT_BYTES per core is returned as it is: its scan is split
-    already, and it is never shuffled for this.
+    A source with a file for each core is returned as it is: its scan is split already, and
+    it is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/paperloom/{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/paperloom/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{_JOB.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Stages below a folder of their own, which is removed at the end, when the caller has
+    written its results."""
+    name = f"job-{uuid.uuid4().hex}/"
+    token = _JOB.set(name)
+    try:
+        yield name
+    finally:
+        _JOB.reset(token)
+        _remove(f"{_own_folder(spark)}/{name}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -114,7 +135,12 @@ def fits_in_broadcast(listed: DataFrame, key: str) -> bool:
 
 def drop_staged(spark: SparkSession) -> None:
     """Remove this application's staged tables. Call when no result that reads them is left."""
-    jvm = spark.sparkContext._jvm
-    folder = f"{shared_folder(spark)}/paperloom/{spark.sparkContext.applicationId}"
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(_own_folder(spark))
+
+
+def _remove(folder: str) -> None:
+    where, path = (
+        fs.FileSystem.from_uri(folder) if ":" in folder.partition("/")[0] else (fs.LocalFileSystem(), folder)
+    )
+    if where.get_file_info(path).type == fs.FileType.Directory:
+        where.delete_dir(path)

@@ -30,9 +30,23 @@ def test_stage_and_drop(spark, tmp_path, monkeypatch):
     assert not list((tmp_path / "paperloom").iterdir())
 
 
-def test_spread_only_small_sources(spark, monkeypatch):
-    df = spark.range(100).repartition(1)
-    assert session.spread(df).rdd.getNumPartitions() == 4
-    monkeypatch.setattr(session, "SPLIT_BYTES", 1)
-    assert session.spread(df).rdd.getNumPartitions() == 1
-    assert rows(session.spread(df)) == rows(df)
+def test_spread_only_few_files(spark, tmp_path):
+    for n, parts in ((1, 4), (6, None)):
+        spark.range(100).repartition(n).write.parquet(str(tmp_path / str(n)))
+        df = spark.read.parquet(str(tmp_path / str(n)))
+        dealt = session.spread(df)
+        assert dealt.rdd.getNumPartitions() == (parts or df.rdd.getNumPartitions())
+        assert rows(dealt) == rows(df)
+
+
+def test_job_folder_is_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
+    with session.job_folder(spark) as job:
+        path = session.stage(spark.range(3), "t").inputFiles()[0]
+        assert job in path and session.stage(spark.range(3), "t").count() == 3
+    assert job not in session.stage(spark.range(3), "t").inputFiles()[0]
+    assert not list(tmp_path.glob(f"paperloom/*/{job}"))
+
+
+def test_local_session_has_its_folder(spark):
+    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
