@@ -43,6 +43,8 @@ from paperloom.session import fits_in_broadcast, stage
 #: Chance that a pair exactly at the threshold lies beyond the signature distance.
 MISSED = 2e-5
 MOST_KEYS = 64
+#: Number of keys that one hub is dealt over in a join.
+PIECES = 64
 _SALTS = np.random.default_rng(11).integers(1, 2**64, (2, 256), dtype=np.uint64) | np.uint64(1)
 
 
@@ -240,8 +242,14 @@ def _around_hubs(stars: DataFrame, threshold: int) -> DataFrame:
     differences of each must then have one in common.
     """
     open_hubs = stars.groupBy("b").agg(F.count("*").alias("n"), F.min(F.col("linked").cast("int")).alias("all"))
-    open_hubs = open_hubs.where("n > 1 and all = 0").select("b")
-    rows = stars.join(open_hubs, "b").select(
+    open_hubs = stage(open_hubs.where("n > 1 and all = 0").select("b"), "open-hubs")
+    if fits_in_broadcast(open_hubs, "b"):
+        around = stars.join(F.broadcast(open_hubs), "b")
+    else:  # a hub may have a large share of all classes, so each is dealt over several keys
+        piece = F.pmod(F.xxhash64("a"), F.lit(PIECES))
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PIECES - 1).cast("long")))
+        around = stars.withColumn("piece", piece).join(open_hubs.withColumn("piece", copies), ["b", "piece"])
+    rows = around.select(
         F.col("b").alias("hub"),
         F.col("a").alias("node"),
         "linked",

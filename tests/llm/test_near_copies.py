@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from paperloom import session
 from paperloom.llm import near_copies as N
 
 from .fixtures import awkward, components, nothing, shingle_set
@@ -26,9 +27,11 @@ def altered(rng, text, share):
     return " ".join(rng.choice("pqrstuv") * 3 if rng.random() < share else w for w in text.split())
 
 
-@pytest.mark.parametrize(("size", "threshold"), [(3, 85), (5, 80)])
-def test_equals_brute_force(spark, size, threshold):
+@pytest.mark.parametrize(("size", "threshold", "broadcast"), [(3, 85, True), (3, 85, False), (5, 80, True)])
+def test_equals_brute_force(spark, monkeypatch, size, threshold, broadcast):
     """A centre with near copies on both sides of the threshold, chains, copies, a shared passage."""
+    if not broadcast:
+        monkeypatch.setattr(session, "MAX_BROADCAST", -1)
     rng = random.Random(4)
     fresh = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
     centre, passage, chain = fresh(120), fresh(30), fresh(100)
