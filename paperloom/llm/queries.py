@@ -130,7 +130,7 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, CASE
                 WHEN len(w) = 0 THEN []
                 WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
                 END AS s
             FROM w),
         e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
@@ -149,8 +149,8 @@ ORACLES: dict[str, str] = {
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0),
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         k AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
