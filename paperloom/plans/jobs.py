@@ -26,9 +26,9 @@ def compact(
     staged texts, so they belong to the same state of the tree.
     """
     read = stage(documents.scan_documents(spark, root, kinds, shards), "documents")
-    docs = documents.parsed(read)
-    sinks.write_merged(documents.with_provenance(documents.drop_malformed(docs)), out)
-    return documents.rejects(docs)
+    good, bad = documents.rewritten(documents.parsed(read))
+    sinks.write_merged(good, out)
+    return bad
 
 
 def compact_new(
@@ -59,11 +59,11 @@ def append_new(docs: DataFrame, out: str, rejects: str) -> None:
         docs = maintenance.pending_documents(docs, maintenance.merged_keys(merged))
     # staged before anything is appended to what decides which documents are new
     read = documents.parsed(stage(docs, "new-documents"))
-    bad = documents.rejects(read)
+    good, bad = documents.rewritten(read)
     if _exists(spark, rejects):
         bad = bad.join(spark.read.parquet(rejects).select("shard", "file"), ["shard", "file"], "left_anti")
     stage(bad, "rejects").write.mode("append").parquet(rejects)
-    sinks.write_merged(documents.with_provenance(documents.drop_malformed(read)), out, mode="append")
+    sinks.write_merged(good, out, mode="append")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

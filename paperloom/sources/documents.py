@@ -8,16 +8,24 @@ blocks into tasks, and files of one name in two folders do not tie.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import math
+import sys
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import files
 from paperloom.functions.once import once
+from paperloom.session import stage
 
 SOURCE_ORDER = ("file_path", "block_start", "line_pos")
+# What the engine's JSON parser takes: characters of one string, and nested levels.
+MOST_CHARACTERS = 20_000_000
+MOST_LEVELS = 1000
 SHARD_NAME = r"[0-9a-f]{2}\.software\.jsonl\.gz"
 
 
@@ -147,11 +155,17 @@ def scan_merged(spark: SparkSession, path: str) -> DataFrame:
 def parsed(docs: DataFrame) -> DataFrame:
     """Add ``doc``: the body as a VARIANT object, NULL unless the body is a JSON object.
 
-    With duplicate keys the last one counts.
+    With duplicate keys the last one counts. A number too large for a double is an error, as
+    it would otherwise become the text "Infinity"; only bodies with such long numbers are
+    looked at for it.
     """
     docs.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     value = F.try_parse_json("body")
-    return once(docs, doc=F.when(F.ltrim("body").startswith("{"), value))
+    read = once(docs, doc=F.when(F.ltrim("body").startswith("{"), value))
+    infinite = F.lit('"-?Infinity"')
+    overflows = F.regexp_count(F.to_json("doc"), infinite) > F.regexp_count("body", infinite)
+    suspect = F.col("body").rlike(r"[0-9][eE][+]?[0-9]{3}|[0-9]{309}")
+    return read.withColumn("doc", F.when(~F.coalesce(suspect & overflows, F.lit(False)), F.col("doc")))
 
 
 def drop_malformed(docs: DataFrame) -> DataFrame:
@@ -188,6 +202,64 @@ def with_provenance(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", F.to_json(F.map_concat(members, own))).drop("doc")
 
 
+def rewritten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of parsed documents: the first with the key ``file`` set in their
+    text, the second with the text as found.
+
+    The engine's parser gives up on strings beyond 20 million characters and on more than
+    1000 levels. Bodies that may have these are read again by Python's parser, which has no
+    such limits; they are few, and all others never leave the engine.
+    """
+    good = with_provenance(drop_malformed(docs))
+    bad = rejects(docs)
+    body = F.col("body")
+    brackets = F.length(body) - F.length(F.translate(body, "[{", ""))
+    large = F.ltrim(body).startswith("{") & ((F.length(body) > MOST_CHARACTERS) | (brackets > MOST_LEVELS))
+    beyond = F.coalesce(large, F.lit(False))
+    schema = T.StructType([*bad.schema.fields, T.StructField("text", T.StringType())])
+    names = bad.columns
+    at, name_at = names.index("body"), names.index("file")
+
+    def read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one at a time: each may be very large
+                row = batch.slice(i, 1)
+                text = with_file_key(row.column(at)[0].as_py(), row.column(name_at)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string())], [*names, "text"])
+
+    again = stage(bad.where(beyond).mapInArrow(read_again, schema), "large-documents")
+    found = again.where(F.col("text").isNotNull()).withColumn("body", F.col("text")).drop("text")
+    unread = again.where(F.col("text").isNull()).drop("text")
+    return good.unionByName(found), bad.where(~beyond).unionByName(unread)
+
+
+def with_file_key(body: str, file: str) -> str | None:
+    """The text of a JSON object with its key ``file`` set; None if it is not an object."""
+
+    def finite(text: str) -> float:
+        if math.isinf(value := float(text)):
+            raise ValueError(text)
+        return value
+
+    def refuse(text: str):
+        raise ValueError(text)
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1_000_000))
+    try:
+        value = json.loads(body, parse_float=finite, parse_constant=refuse)
+        if not isinstance(value, dict):
+            return None
+        if "file" in value:
+            return json.dumps(value | {"file": file}, ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return None
+    finally:
+        sys.setrecursionlimit(limit)
+    key = f'"file":{json.dumps(file, ensure_ascii=False)}}}'
+    return body.rstrip()[:-1] + ("," if value else "") + key
+
+
 def decode(docs: DataFrame, ddl: str, strict: bool = False) -> DataFrame:
     """Typed projection of ``body``: the columns of ``ddl`` plus ``bad_body``.
 

@@ -149,3 +149,40 @@ def test_decode(spark):
     ]
     with pytest.raises(Exception, match="(?i)malformed"):
         documents.decode(docs, "file STRING, year INT", strict=True).collect()
+
+
+def test_documents_beyond_the_engine_s_limits(spark):
+    big, deep = "x" * 21_000_000, 1500
+    bodies = {
+        "a": '{"s":"' + big + '"}',
+        "b": '{"d":' * deep + "1" + "}" * deep,
+        "c": '{"file":"old","s":"' + big + '","n":12345678901234567890}',
+        "d": '{"s":"' + big + '"',
+        "e": '{"n":1e400}',
+        "f": '{"n":-1E+999, "t":"Infinity"}',
+        "g": '{"n":1e300, "t":"Infinity", "big":' + "9" * 400 + "}",
+        "h": '{"n":1e300, "t":"Infinity"}',
+        "i": '{"d":' * deep + "1" + "}" * (deep - 1),
+        "j": "{}",
+    }
+    df = spark.createDataFrame(list(bodies.items()), "file STRING, body STRING")
+    good, bad = documents.rewritten(documents.parsed(df))
+    got = {r.file: r.body for r in good.collect()}
+    assert sorted(got) == ["a", "b", "c", "h", "j"]
+    assert got["a"] == bodies["a"][:-1] + ',"file":"a"}'
+    assert got["b"].startswith('{"d":{"d":') and got["b"].endswith('},"file":"b"}')
+    assert json.loads(got["c"])["file"] == "c" and json.loads(got["c"])["n"] == 12345678901234567890
+    assert json.loads(got["h"]) == {"n": 1e300, "t": "Infinity", "file": "h"}
+    assert json.loads(got["j"]) == {"file": "j"}
+    assert {r.file: r.body for r in bad.collect()} == {k: bodies[k] for k in "defgi"}
+
+
+def test_files_of_one_name_in_two_folders_keep_their_order(spark, tmp_path):
+    for folder, n in (("b", 2), ("a", 1)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text("".join(f'{{"n": {n}{i}}}\n' for i in range(3)))
+    for paths in (["b", "a"], ["a", "b"]):
+        lines = documents.scan_jsonl(spark, [str(tmp_path / p) for p in paths])
+        for n in (1, 5):
+            ordered = lines.repartition(n).orderBy(*documents.SOURCE_ORDER).collect()
+            assert [json.loads(r.body)["n"] for r in ordered] == [10, 11, 12, 20, 21, 22]
