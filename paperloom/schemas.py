@@ -36,41 +36,6 @@ id BINARY, mentions ARRAY<STRUCT<normalized_form: STRING, wikidata_id: STRING>>
 
 TABLES = {"papers": PAPERS, "software": SOFTWARE, "mentions": MENTIONS}
 
-# --- the full paper record: declared for typed reads, no operator needs all of it ------
-
-_LINK = (
-    "STRUCT<url: STRING, content_type: STRING, content_version: STRING, "
-    "intended_application: STRING>"
-)
-_DATE = "STRUCT<date_parts: ARRAY<INT>>"
-_AUTHOR = "STRUCT<given: STRING, family: STRING, sequence: STRING, affiliation: ARRAY<STRING>>"
-_LOCATION = (
-    "STRUCT<url: STRING, pmh_id: STRING, is_best: BOOLEAN, license: STRING, oa_date: STRING, "
-    "updated: STRING, version: STRING, evidence: STRING, host_type: STRING, "
-    "endpoint_id: STRING, url_for_pdf: STRING, url_for_landing_page: STRING, "
-    "repository_institution: STRING>"
-)
-PAPER_RECORD = f"""
-doi STRING, year INT, genre STRING, is_oa BOOLEAN, title STRING, doi_url STRING,
-updated STRING, oa_status STRING, publisher STRING, z_authors ARRAY<{_AUTHOR}>,
-is_paratext BOOLEAN, journal_name STRING, oa_locations ARRAY<{_LOCATION}>,
-data_standard INT, journal_is_oa BOOLEAN, journal_issns STRING, journal_issn_l STRING,
-published_date STRING, best_oa_location {_LOCATION}, first_oa_location {_LOCATION},
-journal_is_in_doai BOOLEAN, has_repository_copy BOOLEAN,
-oa_locations_embargoed ARRAY<{_LOCATION}>, id STRING,
-glutton STRUCT<url: STRING, resource: STRUCT<primary: {_LINK}>, member: INT,
-  issn: ARRAY<STRING>, container_title: STRING, issued: STRUCT<date_parts: {_DATE}>,
-  author: {_AUTHOR}, doi: STRING, is_referenced_by_count: INT, published: {_DATE},
-  published_print: {_DATE}, alternative_id: ARRAY<STRING>, subject: ARRAY<STRING>,
-  content_domain: STRUCT<domain: ARRAY<STRING>, crossmark_restriction: BOOLEAN>,
-  title: ARRAY<STRING>, link: ARRAY<{_LINK}>, source: STRING, type: STRING,
-  publisher: STRING, journal_issue: STRUCT<issue: INT, published_print: {_DATE}>,
-  volume: STRING, references_count: INT, issn_type: ARRAY<STRUCT<value: STRING, type: STRING>>,
-  language: STRING, page: STRING, short_container_title: ARRAY<STRING>, istexId: STRING,
-  ark: STRING, oaLink: STRING>,
-istexId STRING, valid_fulltext_pdf BOOLEAN
-"""
-
 # --- fixed values: document kinds by file-name suffix -----------------------------------
 
 KIND_BY_SUFFIX = {
