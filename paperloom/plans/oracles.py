@@ -6,7 +6,7 @@ the JSON text that the Spark queries build and parse, except where walking JSON
 
 from __future__ import annotations
 
-from paperloom.schemas import LICENCES
+from paperloom.schemas import KIND_BY_SUFFIX, LICENCES
 from paperloom.plans.views import MENTION_SUFFIXES, SPELLINGS, STOP_LIST
 
 ORACLES: dict[str, str] = {}
@@ -220,6 +220,21 @@ WITH {_ITEMS}, names AS (
 SELECT {_KIND.format('name')} AS kind, count(*) AS n FROM names GROUP BY 1
 """
 
+_SUFFIXES = [*KIND_BY_SUFFIX, ".txt.json"]
+ORACLES["scanned_tree"] = f"""
+WITH c AS (SELECT *, {_uuid('c_custkey')} AS uuid FROM customer),
+f AS (SELECT *, uuid || {_list(_SUFFIXES)}[c_custkey % {len(_SUFFIXES)} + 1] AS file FROM c)
+SELECT substr(uuid, 1, 2) AS shard, file, {_KIND.format('file')} AS kind, uuid AS paper_id,
+       c_custkey % 7 <> 0 AS readable, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS name
+FROM f WHERE {_KIND.format('file')} IS NOT NULL
+"""
+
+ORACLES["first_seen_across_folders"] = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment
+  ORDER BY c_custkey % 2, c_nationkey, c_custkey) AS place FROM customer)
+SELECT c_mktsegment AS "normalizedForm", c_name AS "wikidataId", 'x' AS "softwareType" FROM r WHERE place = 1
+"""
+
 ORACLES["merged_shards"] = f"""
 WITH {_ITEMS}
 SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind, count(*) AS n,

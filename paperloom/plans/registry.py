@@ -272,6 +272,38 @@ def concatenated_documents(spark, sf_dir):
     return docs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _written(spark: SparkSession, rows: DataFrame, name: str, *parts: str) -> str:
+    """A folder with the files of ``rows``, each at its ``parts``."""
+    root = staging_path(spark, name)
+    root = root if ":" in root.partition("/")[0] else f"file://{root}"
+    path = F.concat(F.lit(root), *[F.concat(F.lit("/"), F.col(p)) for p in parts])
+    sinks.write_files(rows.withColumn("path", path)).count()
+    return root
+
+
+@query
+def scanned_tree(spark, sf_dir):
+    """A tree of files, written, listed and read: what merging would take and refuse."""
+    root = _written(spark, views.customer_tree(spark, sf_dir), "tree", "shard", "file")
+    docs = documents.parsed(documents.scan_documents(spark, root))
+    listed = documents.list_documents(spark, root).select("file")
+    return docs.join(listed, "file").select(
+        "shard", "file", "kind", "paper_id",
+        F.col("doc").isNotNull().alias("readable"),
+        F.get_json_object("body", "$.name").alias("name"),
+    )
+
+
+@query
+def first_seen_across_folders(spark, sf_dir):
+    """Shard files of equal names in two folders: the first mention of each name, by path."""
+    root = _written(spark, views.customer_lines(spark, sf_dir), "shards", "folder", "name")
+    # folder names must match the pattern of the shard files too, so each is read by itself
+    lines = [documents.scan_shards(spark, f"{root}/{folder}", spread=3) for folder in ("b", "a")]
+    docs = typed.decode_mentions(lines[0].unionByName(lines[1]))
+    return mentions.software_dimension(mentions.explode_mentions(docs).drop("bad_body"))
+
+
 @query
 def merged_shards(spark, sf_dir):
     """Compaction written as gzip JSON lines per shard and kind, then read back and counted."""

@@ -200,6 +200,42 @@ def event_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(table(spark, sf_dir, "events"), body=text).select("body")
 
 
+def customer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shard, file, text): a document file for each customer, its kind by number; every
+    seventh is not JSON."""
+    customers = with_uuid(table(spark, sf_dir, "customer"), "uuid", "c_custkey")
+    suffix = pick([*KIND_BY_SUFFIX, ".txt.json"], F.pmod("c_custkey", F.lit(len(KIND_BY_SUFFIX) + 1)))
+    body = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")))
+    bad = F.col("c_custkey") % 7 == 0
+    return customers.select(
+        F.substring("uuid", 1, 2).alias("shard"),
+        F.concat("uuid", suffix).alias("file"),
+        F.when(bad, F.lit("not JSON")).otherwise(body).alias("text"),
+    )
+
+
+def customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, folder, text): shard files of JSON lines, the same names in two folders.
+
+    A shard's lines are the customers of a nation in the order of their keys, those of even
+    keys in folder ``a``; a name is that of a mention document of each.
+    """
+    customers = with_uuid(table(spark, sf_dir, "customer"), "uuid", "c_custkey")
+    mention = F.struct(
+        F.struct(F.col("c_mktsegment").alias("normalizedForm"), F.col("c_name").alias("wikidataId")).alias("software-name"),
+        F.lit("x").alias("software-type"),
+    )
+    line = F.to_json(F.struct(F.concat("uuid", F.lit(".software.json")).alias("file"), F.array(mention).alias("mentions")))
+    lines = customers.select(
+        "c_custkey",
+        line.alias("line"),
+        F.format_string("%02x.software.jsonl.gz", "c_nationkey").alias("name"),
+        F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b").alias("folder"),
+    )
+    listed = F.sort_array(F.collect_list(F.struct("c_custkey", "line")))
+    return lines.groupBy("name", "folder").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
+
+
 def deep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(body): turns, each in 15 to 40 nested objects, the depth by conversation."""
     depth = (F.col("conv_id") % 26 + 15).cast("int")
