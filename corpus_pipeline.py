@@ -1,7 +1,10 @@
 """From raw documents to token ids, in five stages; each is written before the next reads it.
 
 A stage takes (spark, docs, sf_dir) and works on all rows of ``docs``, which has the columns
-of ``documents`` and is read from files. All but the last return these columns.
+of ``documents`` and is read from files. All but the last return these columns; others are left
+out. Texts without letters, null or empty ones among them, have no language and go in the
+first stage. Ids may be null or repeat, and whole rows may repeat: each is a document, and of
+equal ones the first stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
