@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paperloom.llm.words import buffer_of, hash_words, slices
+from paperloom.llm.words import batch_rows, buffer_of, hash_words, release, slices
 
-CACHED_PIECES = 200_000
-SLICE = 4 << 20
+CACHED_PIECES = 100_000
+SLICE = 2 << 20
 NO_BYTE = np.zeros(256, bool)
 
 
@@ -81,6 +81,11 @@ class Codec:
         self.filled = 0
         self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
+    def end_task(self) -> None:
+        """Drops what the task has learned; the vocabulary stays for the worker's next tasks."""
+        self._forget()
+        release()
+
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         ids = []
@@ -210,7 +215,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
                 new |= {"begins": _list(pa.array(_joined(begins, np.int32)), rows)}
                 new |= {"ends": _list(pa.array(_joined(ends, np.int32)), rows)}
             yield _with(batch, new)
+        own.end_task()
 
+    batch_rows(df.sparkSession)
     kind = T.ArrayType(T.IntegerType())
     names = ["ids", *(["begins", "ends"] if offsets else [])]
     return df.mapInArrow(run, _extended(df, *((n, kind) for n in names)))
@@ -261,7 +268,9 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", keep_
             if keep_ids:
                 new["ids"] = _list(pa.array(_joined(all_ids, np.int32)), all_rows)
             yield _with(batch.drop_columns([text]), new)
+        own.end_task()
 
+    batch_rows(df.sparkSession)
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     fields += [("ids", T.ArrayType(T.IntegerType()))] * keep_ids
     return df.mapInArrow(run, _extended(df.drop(text), *fields))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.hashed import bounded_sample, find, row_sums
-from paperloom.llm.words import bounds, buffer_of, hash_words, mix, slices
+from paperloom.llm.words import batch_rows, bounds, buffer_of, hash_words, mix, release, slices
 
 ORDER = 4
 SAMPLE = 1500
@@ -192,6 +192,7 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in new]
     source = df.select(*kept, F.lower(F.col(text)).alias("__lower"))
     sent = df.sparkSession.sparkContext.broadcast(models)
+    batch_rows(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -221,6 +222,7 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
                     "accepted": pa.array(fits),
                 }
             )
+        release()
 
     schema = df.select(*kept).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema.add("cross_entropy", "double").add("accepted", "boolean"))

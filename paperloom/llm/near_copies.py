@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.words import mix, shingles, words
+from paperloom.llm.words import batch_rows, mix, release, shingles, words
 from paperloom.session import fits_in_broadcast, stage
 
 #: Chance that a pair exactly at the threshold lies beyond the signature distance.
@@ -99,6 +99,7 @@ def signatures(df: DataFrame, size: int, n: int, doc_id: str, text: str) -> Data
                     ],
                     ["doc_id", "n_shingles", "node", "sig"],
                 )
+        release()
 
     source = df.select(keep, F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -302,6 +303,7 @@ def near_copies(
     df: DataFrame, size: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row; see the module's text."""
+    batch_rows(df.sparkSession)
     chunks, width, errors = layout(threshold)
     n, limit = chunks * width, chunks * (errors + 1)
     signed = stage(signatures(df, size, n, doc_id, text), "signatures")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.spans import SPANS
-from paperloom.llm.words import FOLD, bounds, buffer_of, slices
+from paperloom.llm.words import FOLD, batch_rows, bounds, buffer_of, slices
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "xprv")
@@ -130,5 +130,6 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
             own = {name: batch.column(i) for i, name in enumerate(kept)}
             yield pa.RecordBatch.from_pydict(own | {"spans": pa.array(rows, kind)})
 
+    batch_rows(df.sparkSession)
     schema = df.select(*kept).schema.add("spans", SPANS)
     return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.hashed import find
-from paperloom.llm.words import NOT_PLAIN, Words, shingles, words
+from paperloom.llm.words import NOT_PLAIN, Words, batch_rows, release, shingles, words
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -149,6 +149,7 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, min_match: int, most:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], ["id", "words"])
 
     source = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text"))
+    batch_rows(benchmark.sparkSession)
     made = source.where("text is not null").mapInArrow(hashed, "id long, words array<long>")
     total = made.agg(F.sum(F.size("words"))).first()[0] or 0
     n = -(-total // most)
@@ -206,6 +207,7 @@ def clean(
                 keep = np.ones(batch.num_rows, bool)
                 keep[[row for row, _, _ in findings(lowered(batch.column(place)), sent.value, coverage)]] = False
                 yield batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -9,6 +9,8 @@ about 2**-64 per pair.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +42,22 @@ for _lo, _hi in ("09", "AZ", "az"):
     NOT_PLAIN[ord(_lo) : ord(_hi) + 1] = False
 
 
+#: Rows of a batch between Spark and Python; texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1500
+
+
+def batch_rows(spark, rows: int = BATCH_ROWS) -> None:
+    """Set the size of batches; every operator that sends texts to Python calls this."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Give back freed memory at the end of a task, as workers are kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values; one to one."""
     x = x ^ (x >> np.uint64(31))
