@@ -29,9 +29,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near copies (five-word shingles, similarity 0.8).
 
     Rows are told apart by their place in the files, so that repeated ids and repeated rows
-    are documents like any others; of a group, the row that comes first stays.
+    are documents like any others; of a group, the row that comes first stays. The places are
+    written once, as a later scan may split the files in another way.
     """
-    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    rows = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     found = near_copies.near_copies(rows, size=5, threshold=80, doc_id="row")
     removed = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("row")), "removed")
     listed = F.broadcast(removed) if fits_in_broadcast(removed, "row") else removed

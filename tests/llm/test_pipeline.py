@@ -88,3 +88,26 @@ def test_query_is_registered(spark):
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     out = entry.queries()["pipeline"](spark, SF)
     assert 0 < out.count() <= 200 and "ids" in out.columns
+
+
+def test_rows_keep_their_ids_when_files_are_split_anew(spark, tmp_path, monkeypatch):
+    """As after the loss of an executor: the scan after the links packs the files otherwise."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    rows = [(i, text(i % 20), "en", "s", 1) for i in range(24)]
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    path, key = str(tmp_path / "d"), "spark.sql.files.minPartitionNum"
+    spark.createDataFrame(rows, schema).repartition(8, "doc_id").write.parquet(path)
+    whole = P.near_copies.near_copies
+
+    def then_split(*args, **kwargs):
+        found = whole(*args, **kwargs)
+        spark.conf.set(key, "1")
+        return found
+
+    monkeypatch.setattr(P.near_copies, "near_copies", then_split)
+    spark.conf.set(key, "8")
+    try:
+        got = [r.text for r in P.one_of_near_copies(spark, spark.read.parquet(path), SF).collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sorted(got) == sorted(text(i) for i in range(20))
