@@ -1,15 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language, over words of letters in lower case, each with the space before and
-after it. The models are fitted on a bounded sample of labelled texts (``sample`` per
+after it. Letters go by Unicode class, and marks belong to the letter before them. The models are fitted on a bounded sample of labelled texts (``sample`` per
 language); Spark counts their n-grams, and the tables of probabilities and backoff weights
 are arrays sorted by n-gram hash. Every text is scored whole under every language; a word
 that a batch repeats is scored once. The lowest cross-entropy per character wins.
 
 Rejection is calibrated on sampled texts that the models were not fitted on: a text is
 accepted when its cross-entropy exceeds the language's usual one by no more than twice what
-any of these texts of its length class does. Texts without letters (null, empty, digits
-only) are ``und``, not accepted, with score 0; the same holds for all texts when nothing is
+any of these texts of its length class does. Texts without letters (null, empty, digits,
+symbols only) are ``und``, not accepted, with score 0; the same holds for all texts when nothing is
 labelled. Ties go to the alphabetically first language. Repeated rows are scored alike.
 """
 
@@ -33,6 +33,11 @@ DISCOUNT = 0.75
 #: Classes of length, in letters.
 LENGTHS = (64, 256, 1024)
 
+WORD = r"(\p{L}[\p{L}\p{M}]*)"
+#: What is in no word, but for spaces: marks without a letter, and all that is neither.
+OTHER = r"(?<![\p{L}\p{M}])\p{M}+|[^\p{L}\p{M} ]+"
+
+#: Bytes that end words in a text of ``letters``.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[0x80:] = False
 NOT_LETTER[ord("a") : ord("z") + 1] = False
@@ -50,6 +55,11 @@ class Models:
     bound: np.ndarray | None = None  # accepted excess over it, by class of length
 
 
+def letters(text: Column | str) -> Column:
+    """The words of a text in lower case, with spaces between them."""
+    return F.regexp_replace(F.lower(text), OTHER, " ")
+
+
 def gram_hash(points: list[np.ndarray]) -> np.ndarray:
     """A hash of n code points, given by place."""
     total = np.full(len(points[0]), len(points), np.uint64)
@@ -73,7 +83,7 @@ def _hash_strings(grams: list[str]) -> np.ndarray:
 def gram_counts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n): each character of each word with up to ORDER - 1 before it."""
     words = labelled.select(
-        F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"))).alias("w")
+        F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD))).alias("w")
     )
     words = words.groupBy("lang", "w").count()
     padded = words.select("lang", "count", F.concat(F.lit(" "), "w", F.lit(" ")).alias("w"))
@@ -190,7 +200,7 @@ def identify(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (0 to 1), ``cross_entropy`` and ``accepted``."""
     new = ("lang_pred", "score", "cross_entropy", "accepted")
     kept = [c for c in df.columns if c not in new]
-    source = df.select(*kept, F.lower(F.col(text)).alias("__lower"))
+    source = df.select(*kept, letters(F.col(text)).alias("__lower"))
     sent = df.sparkSession.sparkContext.broadcast(models)
     batch_rows(df.sparkSession)
 
@@ -246,7 +256,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
         return models
     held = identify(drawn.where(part == 0), models).where("lang = lang_pred")
     # score_texts counts characters; the bound is on the excess times their root
-    n = F.length(F.regexp_replace(F.lower("text"), r"[^a-z\x{80}-\x{10FFFF}]", ""))
+    n = F.length(F.replace(letters("text"), F.lit(" "), F.lit("")))
     own = held.select("lang", "cross_entropy", length_class(n).alias("size"))
     stats = {r["lang"]: r["usual"] for r in own.groupBy("lang").agg(F.avg("cross_entropy").alias("usual")).collect()}
     overall = float(np.mean(list(stats.values()))) if stats else 0.0

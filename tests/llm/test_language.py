@@ -72,3 +72,14 @@ def test_awkward_rows(spark):
     assert L.identify(nothing(spark), models).collect() == []
     untaught = L.fit(nothing(spark))
     assert {(r.lang_pred, r.score, r.accepted) for r in L.identify(awkward(spark), untaught).collect()} == {("und", 0.0, False)}
+
+
+def test_only_letters_count(spark):
+    models = L.fit(corpus(spark))
+    none = ["— “” …", "😀😀 🎉", "٣٤٥ １２", " 　", "́ ", "™ © →"]
+    texts = [*none, "the tree and the water", "the 😀tree — “and” the　water…"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r for r in L.identify(df, models).collect()}
+    assert {(got[i].lang_pred, got[i].score, got[i].accepted) for i in range(len(none))} == {("und", 0.0, False)}
+    clean, mixed = got[len(none)], got[len(none) + 1]
+    assert clean.lang_pred == mixed.lang_pred == "en" and clean.cross_entropy == pytest.approx(mixed.cross_entropy)
