@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, language, near_copies, personal, scoring, secrets, tiling, toxicity, vectors, warc
+from paperloom.llm import bpe, filter_audit, language, near_copies, personal, scoring, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
 from paperloom.session import staging_path
@@ -95,6 +95,11 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = filter_audit.failures(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(found, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_near_copies": op2_near_copies,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal": op8_personal,
     "op9_language": op9_language,
     "op10_vectors": op10_vectors,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -161,4 +167,47 @@ ORACLES: dict[str, str] = {
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM k GROUP BY 1)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM m LEFT JOIN n USING (vec_id)""",
+    "op13_filter_audit": """
+        WITH RECURSIVE t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        f AS (
+            SELECT doc_id, part,
+                   len(w) < 50 AS a,
+                   100 * len(list_distinct(w)) < 65 * len(w) AS b,
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) AS c,
+                   regexp_matches(text, '[#$%&*|]') AS d,
+                   coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e
+            FROM t),
+        g AS (
+            SELECT part, [a, b, c, d, e] AS fails,
+                   coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+                   coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic
+            FROM f),
+        s AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM g GROUP BY ALL),
+        l AS (SELECT unnest(range(1, 6)) AS i),
+        o AS (
+            SELECT a.i || '' || b.i || c.i || d.i || e.i AS o FROM l a, l b, l c, l d, l e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        p AS (
+            SELECT part, o, l.i AS step, CAST(substr(o, l.i, 1) AS INTEGER) AS own, n, good, toxic, fails,
+                   list_bool_or(list_transform(range(1, l.i), lambda k: fails[CAST(substr(o, k, 1) AS INTEGER)])) AS earlier
+            FROM s, o, l),
+        r AS (
+            SELECT part, translate(o, '12345', 'ABCDE') AS filter_order, step, own,
+                   sum(n) FILTER (NOT coalesce(earlier, false) AND NOT fails[own]) AS kept,
+                   sum(n) FILTER (NOT coalesce(earlier, false) AND fails[own]) AS removed,
+                   sum(n) FILTER (earlier AND fails[own]) AS redundant,
+                   sum(n) FILTER (fails[own] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
+                   sum(good) FILTER (NOT coalesce(earlier, false) AND fails[own]) AS good_lost,
+                   sum(toxic) FILTER (NOT coalesce(earlier, false) AND fails[own]) AS toxic_lost
+            FROM p GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+               CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+               CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+               CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+               CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+               CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+        FROM r""",
 }
