@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, filter_audit, language, near_copies, personal, scoring, secrets, tiling, toxicity, vectors, warc
+from paperloom.llm import bpe, filter_audit, language, near_copies, personal, phrases, scoring, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
 from paperloom.session import staging_path
@@ -95,6 +95,10 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filter_audit.failures(table(spark, sf_dir, "documents"))
     return filter_audit.audit(found, table(spark, sf_dir, "labels"))
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal": op8_personal,
     "op9_language": op9_language,
     "op10_vectors": op10_vectors,
+    "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -167,6 +172,38 @@ ORACLES: dict[str, str] = {
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM k GROUP BY 1)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM m LEFT JOIN n USING (vec_id)""",
+    "op12_phrases": """
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM t),
+        g AS (
+            SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+            FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+        f AS (
+            SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS a
+            FROM g GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+        d AS (
+            SELECT DISTINCT c.lang, c.p FROM f c JOIN (
+                SELECT lang, a, k, p, unnest(range(2, k)) AS m FROM f) x ON c.lang = x.lang AND c.k = x.m
+            WHERE c.k >= 2 AND 100 * x.a::HUGEINT >= 80 * c.a
+              AND len(list_filter(range(1, x.k - c.k + 2), lambda i: x.p[i:i + c.k - 1] = c.p)) > 0),
+        c AS (
+            SELECT f.*, unnest(range(1, k)) AS cut FROM f ANTI JOIN d ON f.lang = d.lang AND f.p = d.p
+            WHERE k >= 2),
+        s AS (
+            SELECT c.lang, c.p, c.a, c.cut, l.a AS l, r.a AS r,
+                   CAST((2000000::HUGEINT * c.a) // (l.a + r.a) AS BIGINT) AS score
+            FROM c JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.cut]
+                   JOIN f r ON r.lang = c.lang AND r.p = c.p[c.cut + 1:]),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS best FROM s),
+        o AS (
+            SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score, row_number() OVER (
+                PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank
+            FROM b WHERE best = 1)
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_filter_audit": """
         WITH RECURSIVE t AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
