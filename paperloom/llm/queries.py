@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import bpe, filter_audit, language, near_copies, personal, phrases, scoring, secrets, tiling, toxicity, vectors, warc
+from paperloom.llm import bpe, fertility, filter_audit, language, near_copies, personal, phrases, scoring, secrets, tiling, toxicity, vectors, warc
 from paperloom.llm.hashed import remainder
 from paperloom.llm.spans import digest_columns
 from paperloom.session import staging_path
@@ -95,6 +95,15 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"), *vocabulary())
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", *fertility.LEAST, F.array_join("outside", ",").alias("outside"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal": op8_personal,
     "op9_language": op9_language,
     "op10_vectors": op10_vectors,
+    "op11_quality": op11_quality,
     "op12_phrases": op12_phrases,
     "op13_filter_audit": op13_filter_audit,
 }
