@@ -2,13 +2,13 @@
 
 A stripe is the counter of the words that follow one prefix: the empty prefix, a word, two
 words and so on. Tasks count stripes of their texts, equal prefixes meet in a shuffle, and
-their counters are added elementwise. A merged stripe gives the counts of the prefix's
-extensions, the number of occurrences of the prefix itself (its sum, with the occurrences
-that no counted word follows) and the most frequent extension, which decides subsumption.
+their counters are added elementwise. A merged stripe gives the counts of the prefix's extensions, among
+them those of the prefixes that are longer by a word, and the most frequent extension, which
+decides subsumption; the sum of the empty prefix's stripe is the number of words.
 
 Three passes over the texts count the stripes of the empty prefix, of words and of longer
-prefixes. A phrase is no more frequent than its parts, so the second pass leaves rare words
-to the uncounted rest of a stripe, and the third does so with rare pairs. Which are frequent
+prefixes. A phrase is no more frequent than its parts, so the second pass counts no rare
+words, and the third no words that end a rare pair. Which are frequent
 is told to the tasks by a bit table of fixed size: a rare phrase that shares a frequent one's
 bit is counted in vain, and a frequent one is never missed.
 """
@@ -32,17 +32,18 @@ ENDS_PIECE = np.zeros(256, bool)
 ENDS_PIECE[list(b".,;:!?\n\x0b\x0c\r")] = True
 SEPARATES = BLANK | ENDS_PIECE
 
-#: Bytes of text whose stripes are counted together.
-SLICE = 1 << 22
+#: Bytes of a language's texts whose stripes are counted together.
+SLICE = 1 << 23
 #: Bits of the table of frequent phrases; 4 MB, whatever the data.
 BITS = 25
 #: A prefix with over a ``HOT``-th of all words has its stripe cut into ``SEGMENTS`` by the
 #: following word; there are ``HOT`` such prefixes of one length at most.
-HOT, SEGMENTS = 1000, 64
+HOT, SEGMENTS = 200, 64
 #: Pieces of a language whose best phrases are found apart before they are ranked together.
 PIECES = 32
 
-STRIPE = "lang string, size int, prefix string, segment int, rest bigint, next array<string>, n array<bigint>"
+#: A counter as its tasks send it: words joined by blanks, and counts as 32-bit integers.
+STRIPE = "lang string, size int, prefix string, segment int, next string, n binary"
 MERGED = "lang string, size int, prefix string, segment int, total bigint, next array<string>, n array<bigint>, slot array<int>"
 KEY = ("lang", "size", "prefix", "segment")
 
@@ -99,25 +100,26 @@ def _stripes_of(lang: str, texts: pa.Array, sizes: tuple[int, ...], known: Known
     goes_on[rows[1:][rows[1:] > 0] - 1] = False
 
     def emitted(size: int, at: np.ndarray, prefix: pa.Array, hashes: np.ndarray, follows: np.ndarray) -> pa.RecordBatch:
-        """``at`` is the prefix's number at each occurrence, ``follows`` the next word or -1."""
+        """``at`` is the prefix's number at each occurrence, ``follows`` the next word, or -1 where
+        none is counted."""
+        goes = follows >= 0
+        at, follows = at[goes], follows[goes]
         hot = np.isin(hashes, known.hot) if known else np.ones(len(hashes), bool)
-        segment = np.where(follows >= 0, (own[follows] & np.uint64(SEGMENTS - 1)).astype(np.int64), 0)
-        segment[~hot[at]] = 0
-        entry, count = np.unique((at * SEGMENTS + segment) * (len(names) + 1) + follows + 1, return_counts=True)
-        stripe, word = np.divmod(entry, len(names) + 1)
+        segment = np.where(hot[at], (own[follows] & np.uint64(SEGMENTS - 1)).astype(np.int64), 0)
+        entry, count = np.unique((at * SEGMENTS + segment) * len(names) + follows, return_counts=True)
+        stripe, word = np.divmod(entry, len(names))
         first = np.flatnonzero(np.diff(stripe, prepend=-1))
-        is_rest = word == 0
-        rest = np.add.reduceat(np.where(is_rest, count, 0), first)
-        kept = np.concatenate([[0], np.cumsum(~is_rest)])[np.append(first, len(entry))]
+        kept = np.append(first, len(entry))
         of, cut = np.divmod(stripe[first], SEGMENTS)
+        raw = pa.py_buffer(count.astype("<i4"))
+        joined = pc.binary_join(_lists(kept, names.take(pa.array(word))), pa.scalar(" ", pa.large_string()))
         columns = [
             pa.array([lang] * len(first), pa.string()),
             pa.array(np.full(len(first), size, np.int32)),
             prefix.take(pa.array(of)).cast(pa.string()),
             pa.array(cut.astype(np.int32)),
-            pa.array(rest),
-            _lists(kept, names.take(pa.array(word[~is_rest] - 1)).cast(pa.string())),
-            _lists(kept, pa.array(count[~is_rest])),
+            joined.cast(pa.string()),
+            pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((kept * 4).astype(np.int32)), raw]),
         ]
         return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STRIPE.split(", ")])
 
@@ -161,19 +163,32 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], known: Known | None, suppo
     shared = spark.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.Array]] = {}
+        filled: dict[str, int] = {}
+
+        def counted_of(lang: str) -> Iterator[pa.RecordBatch]:
+            own = pa.chunked_array([x.cast(pa.large_string()) for x in held.pop(lang)]).combine_chunks()
+            filled.pop(lang)
+            data, offsets = buffer_of(own)
+            for at, to in slices(data, offsets, SLICE):
+                yield from _stripes_of(lang, own.slice(at, to - at), sizes, shared.value)
+
         for batch in batches:
             langs, texts = batch.column(0), batch.column(1)
             for lang in pc.unique(langs).to_pylist():
                 own = texts.filter(pc.equal(langs, lang))
-                data, offsets = buffer_of(own)
-                for at, to in slices(data, offsets, SLICE):
-                    yield from _stripes_of(lang, own.slice(at, to - at), sizes, shared.value)
+                held.setdefault(lang, []).append(own)
+                filled[lang] = filled.get(lang, 0) + own.nbytes
+            while filled and (max(filled.values()) >= SLICE or sum(filled.values()) >= 2 * SLICE):
+                yield from counted_of(max(filled, key=filled.get))
+        for lang in list(held):
+            yield from counted_of(lang)
         release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = _counters(batch)
             merged = _merged(table if held is None else pa.concat_tables([held, table]))
             # the last stripe may go on in the next batch
             held = merged.slice(merged.num_rows - 1)
@@ -189,7 +204,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], known: Known | None, suppo
         next_, n = (stripes.column(c).combine_chunks() for c in ("next", "n"))
         at = np.repeat(np.arange(stripes.num_rows), np.diff(n.offsets.to_numpy()))
         count = n.flatten().to_numpy()
-        total = np.bincount(at, count, stripes.num_rows).astype(np.int64) if count.sum() < 1 << 53 else _sums(at, count, stripes.num_rows)
+        total = _sums(at, count, stripes.num_rows)
         often = count >= support
         at, words, count = at[often], next_.flatten().filter(pa.array(often)), count[often]
         prefix = stripes.column("prefix").combine_chunks()
@@ -201,7 +216,7 @@ def _counted(docs: DataFrame, sizes: tuple[int, ...], known: Known | None, suppo
         kept = np.searchsorted(at, np.arange(stripes.num_rows + 1))
         columns = [
             *(stripes.column(c).combine_chunks() for c in KEY),
-            pa.array(total + stripes.column("rest").to_numpy()),
+            pa.array(total),
             _lists(kept, words),
             _lists(kept, pa.array(count)),
             _lists(kept, pa.array(slot.astype(np.int32))),
@@ -222,6 +237,15 @@ def _sums(at: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _counters(stripes: pa.RecordBatch) -> pa.Table:
+    """Stripes as the tasks send them, with their counters as lists."""
+    columns = {c: stripes.column(c) for c in KEY}
+    columns["next"] = pc.split_pattern(stripes.column("next"), " ")
+    n = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(x.as_buffer(), "<i4") for x in stripes.column("n"))])
+    columns["n"] = _lists(columns["next"].offsets.to_numpy(), pa.array(n.astype(np.int64)))
+    return pa.table(columns)
+
+
 def _merged(stripes: pa.Table) -> pa.Table:
     """Adds the stripes of equal keys, which are neighbours, elementwise."""
     stripes = stripes.combine_chunks()
@@ -241,7 +265,6 @@ def _merged(stripes: pa.Table) -> pa.Table:
     at, word = np.divmod(entry, names)
     kept = np.searchsorted(at, np.arange(len(first) + 1))
     merged = {c: columns[c].take(pa.array(first)) for c in KEY}
-    merged["rest"] = pa.array(np.add.reduceat(columns["rest"].to_numpy(), first))
     merged["next"] = _lists(kept, coded.dictionary.take(pa.array(word)))
     merged["n"] = _lists(kept, pa.array(count))
     return pa.table({c: merged[c] for c in stripes.column_names})
@@ -276,8 +299,9 @@ def stripes(docs: DataFrame, longest: int = 4, support: int = 30) -> DataFrame:
     """Merged stripes of all prefixes below ``longest`` words that may be part of a phrase with
     ``support`` occurrences: (lang, size, prefix, segment, total, next, n, slot).
 
-    ``total`` counts the prefix's occurrences in this segment, ``next`` and ``n`` are its
-    extensions with at least ``support``. Hot prefixes have several segments.
+    ``next`` and ``n`` are the prefix's extensions with at least ``support`` occurrences, and
+    ``total`` is the sum of all that were counted. Hot prefixes have several segments, by the
+    following word.
     """
     words = _counted(docs, (0,), None, support, "stripes-0")
     n_words = words.agg(F.sum("total")).first()[0] or 0
