@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import identifiers, licences, maintenance, mentions, ordering, pairs, profile
-from paperloom.sources import documents, sinks, typed
+from paperloom.sources import documents, ledger, sinks, typed
 from paperloom.session import stage
 
 
@@ -19,16 +19,29 @@ def compact(
     out: str,
     kinds: Iterable[str] | None = None,
     shards: Iterable[str] | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Tree of JSON files to gzip JSON lines per shard and kind. Returns the rejects.
 
-    The files are read once: rejects are staged beside the output of the same pass over the
-    staged texts, so they belong to the same state of the tree.
+    ``strict`` writes nothing if a document is unreadable, and says how many are.
+
+    The files are read once and parsed once: rejects come from the same pass over the staged
+    texts as the output, so they belong to the same state of the tree. ``out`` must be new.
     """
-    read = stage(documents.scan_documents(spark, root, kinds, shards), "documents")
-    good, bad = documents.rewritten(documents.parsed(read))
-    sinks.write_merged(good, out)
-    return bad
+    if not ledger.merged(spark, out).isEmpty():
+        raise ValueError(f"has documents already: {out}")
+    read = stage(_with_digest(documents.scan_documents(spark, root, kinds, shards)), "documents")
+    good, bad = documents.rewritten(read)
+    if strict and (n := bad.count()):
+        raise ValueError(f"{n} documents that are not JSON objects")
+    batch = ledger.begin(good, out)
+    sinks.write_merged(good, out, mode="append")
+    ledger.commit(spark, out, batch)
+    return bad.drop("digest")
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("digest", ledger.content_digest(F.col("body")))
 
 
 def compact_new(
@@ -41,52 +54,65 @@ def compact_new(
 ) -> None:
     """The same for documents that ``out`` does not have yet; it may not exist.
 
-    What is done is what is in the output: a document counts as merged when its (paper_id,
-    kind) is there, whatever the age of its file. Run it for one range of ``shards`` after the
-    other on a large tree. Unreadable documents go to the Parquet table ``rejects``, once.
+    What is done is what the output's ledger has: a document counts as merged when its
+    (paper_id, kind) is there, whatever the age of its file. No merged text is read. Run it for
+    one range of ``shards`` after the other on a large tree. Unreadable documents go to the
+    Parquet table ``rejects``, once.
     """
     append_new(documents.scan_documents(spark, root, kinds, shards), out, rejects)
 
 
 def append_new(docs: DataFrame, out: str, rejects: str) -> None:
     """Append the documents that ``out`` lacks, and list the unreadable ones that ``rejects``
-    lacks. Only the shards of ``docs`` are looked up in the output."""
+    lacks. Of the ledger, only the shards of ``docs`` are read."""
     spark = docs.sparkSession
     docs = stage(docs, "documents")
     shards = [r["shard"] for r in docs.select("shard").distinct().collect()]
-    if _exists(spark, out):
-        merged = documents.scan_merged(spark, out).where(F.col("shard").isin(shards))
-        docs = maintenance.pending_documents(docs, maintenance.merged_keys(merged))
+    done = stage(ledger.merged(spark, out, shards), "merged-keys")
+    new = _with_digest(maintenance.pending_documents(docs, done))
     # staged before anything is appended to what decides which documents are new
-    read = documents.parsed(stage(docs, "new-documents"))
-    good, bad = documents.rewritten(read)
-    if _exists(spark, rejects):
-        bad = bad.join(spark.read.parquet(rejects).select("shard", "file"), ["shard", "file"], "left_anti")
+    good, bad = documents.rewritten(new)
+    bad = bad.drop("digest").join(_known_rejects(spark, rejects), ["shard", "file"], "left_anti")
     stage(bad, "rejects").write.mode("append").parquet(rejects)
+    batch = ledger.begin(good, out)
     sinks.write_merged(good, out, mode="append")
+    ledger.commit(spark, out, batch)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _known_rejects(spark: SparkSession, rejects: str) -> DataFrame:
     try:
-        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).isEmpty()
-    except AnalysisException:
-        return False
+        return spark.read.parquet(rejects).select("shard", "file")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], "shard STRING, file STRING")
 
 
 def pending(
     spark: SparkSession, root: str, merged: str, shards: Iterable[str] | None = None
 ) -> DataFrame:
-    """Source files that compaction has not taken in yet."""
+    """Source files that compaction has not taken in yet. Opens no file."""
     source = documents.list_documents(spark, root, shards)
-    return maintenance.pending_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
+    return maintenance.pending_documents(source, ledger.merged(spark, merged, shards))
 
 
 def processed(
     spark: SparkSession, root: str, merged: str, shards: Iterable[str] | None = None
 ) -> DataFrame:
-    """Source files that may be removed, as their content is in the merged output."""
-    source = documents.list_documents(spark, root, shards)
-    return maintenance.processed_documents(source, maintenance.merged_keys(documents.scan_merged(spark, merged)))
+    """Source files that may be removed, as what they hold now is in the merged output.
+
+    Reads the files, as one that was changed after it was merged must stay; see ``changed``.
+    """
+    source = _with_digest(documents.scan_documents(spark, root, shards=shards)).drop("body")
+    return maintenance.unchanged_documents(source, ledger.merged(spark, merged, shards))
+
+
+def changed(
+    spark: SparkSession, root: str, merged: str, shards: Iterable[str] | None = None
+) -> DataFrame:
+    """Source files that were merged with other content than they have now."""
+    source = _with_digest(documents.scan_documents(spark, root, shards=shards)).drop("body")
+    return maintenance.changed_documents(source, ledger.merged(spark, merged, shards))
 
 
 def removable(spark: SparkSession, root: str, shards: Iterable[str] | None = None) -> DataFrame:

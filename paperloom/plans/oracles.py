@@ -255,6 +255,36 @@ SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind,
 FROM items GROUP BY 1, 2
 """
 
+ORACLES["changed_documents"] = f"""
+WITH {_ITEMS}, kinds AS (SELECT *, {_KIND.format('name')} AS kind FROM items),
+merged AS (SELECT DISTINCT paper, kind FROM kinds WHERE l_discount <> 0.1)
+SELECT name AS file, count(*) AS n FROM kinds JOIN merged USING (paper, kind)
+WHERE l_discount = 0.1 OR l_returnflag = 'R' GROUP BY 1
+"""
+
+ORACLES["removable_unchanged"] = f"""
+WITH {_ITEMS}
+SELECT substr(paper, 1, 1) AS shard, {_KIND.format('name')} AS kind, count(*) AS n
+FROM items WHERE l_discount <> 0.1 GROUP BY 1, 2
+"""
+
+ORACLES["streamed_in_two_runs"] = f"""
+WITH c AS (SELECT *, {_uuid('c_custkey')} AS uuid FROM customer),
+f AS (SELECT *, uuid || {_list(_SUFFIXES)}[c_custkey % {len(_SUFFIXES)} + 1] AS file FROM c)
+SELECT substr(uuid, 1, 2) AS shard, {_KIND.format('file')} AS kind,
+       count(*) FILTER (c_custkey % 7 <> 0) AS n, count(*) FILTER (c_custkey % 7 = 0) AS n_rejected
+FROM f WHERE {_KIND.format('file')} IS NOT NULL GROUP BY 1, 2
+"""
+
+ORACLES["strict_counts"] = f"""
+WITH {_ITEMS}, c AS (
+  SELECT count(*) AS documents, count(*) FILTER (l_discount = 0.1) AS malformed, 0 AS blank,
+         count(*) FILTER ({_KIND.format('name')} IS NULL) AS without_kind, 0 AS without_paper_id,
+         count(*) FILTER (l_discount <> 0.1 AND l_returnflag = 'R') AS other_file_key
+  FROM items)
+SELECT rule, CAST(n AS BIGINT) AS n FROM c UNPIVOT (n FOR rule IN (documents, malformed, blank, without_kind, without_paper_id, other_file_key))
+"""
+
 # --- profile ------------------------------------------------------------------------------
 
 # Leaves of the JSON column `body` of a table `docs`.

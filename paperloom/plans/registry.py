@@ -14,7 +14,8 @@ from paperloom.functions.numbers import fits_float32, is_integral
 from paperloom.operators import identifiers, licences, maintenance, mentions, ordering, pairs, profile
 from paperloom.plans import jobs, views
 from paperloom.session import configure, stage, staging_path
-from paperloom.sources import documents, sinks, typed
+from paperloom.sources import documents, ledger, sinks, typed
+from paperloom.streaming.ingest import ingest_new_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -348,6 +349,61 @@ def compacted_in_two_runs(spark, sf_dir):
     )
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    name = F.col("file")
+    return docs.withColumns({"kind": files.classify_kind(name), "paper_id": files.paper_id(name)})
+
+
+@query
+def changed_documents(spark, sf_dir):
+    """Files that hold something else than what was merged; goods of one kind were changed."""
+    out, bad = staging_path(spark, "changed"), staging_path(spark, "changed-rejects")
+    docs = stage(_named(views.tree_documents(spark, sf_dir)), "tree")
+    jobs.append_new(docs, out, bad)
+    other = F.get_json_object("body", "$.file").isNotNull()
+    now = docs.withColumn("body", F.when(other, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
+    source = now.select("file", "paper_id", "kind", ledger.content_digest(F.col("body")).alias("digest"))
+    changed = maintenance.changed_documents(source, ledger.merged(spark, out))
+    return changed.groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query
+def removable_unchanged(spark, sf_dir):
+    """Files that are merged as they are: what may be removed, per shard."""
+    out, bad = staging_path(spark, "unchanged"), staging_path(spark, "unchanged-rejects")
+    docs = stage(_named(views.tree_documents(spark, sf_dir)), "tree")
+    jobs.append_new(docs, out, bad)
+    source = docs.withColumn("digest", ledger.content_digest(F.col("body"))).drop("body")
+    return maintenance.unchanged_documents(source, ledger.merged(spark, out)).groupBy("shard", "kind").agg(F.count("*").alias("n"))
+
+
+@query
+def streamed_in_two_runs(spark, sf_dir):
+    """A tree taken in by a stream, which stops, meets more files and goes on."""
+    tree = views.customer_tree(spark, sf_dir)
+    root = staging_path(spark, "stream-in")
+    root = root if ":" in root.partition("/")[0] else f"file://{root}"
+    out, bad, state = (staging_path(spark, f"stream-{n}") for n in ("out", "rejects", "state"))
+    for part in (0, 1):
+        path = F.concat(F.lit(root), F.lit("/"), F.col("shard"), F.lit("/"), F.col("file"))
+        sinks.write_files(tree.where(F.crc32(F.col("file").cast("binary")) % 2 == part).withColumn("path", path)).count()
+        ingest_new_documents(spark, root, out, state, bad, 1000).awaitTermination()
+    merged = documents.scan_merged(spark, out).groupBy("shard", "kind")
+    rejected = spark.read.parquet(bad).groupBy("shard", "kind")
+    return (
+        merged.agg(F.count("*").alias("n"))
+        .join(rejected.agg(F.count("*").alias("n_rejected")), ["shard", "kind"], "full")
+        .select("shard", "kind", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))
+    )
+
+
+@query
+def strict_counts(spark, sf_dir):
+    """The rules that documents break, counted while they are written."""
+    _, counts = documents.counted(views.tree_documents(spark, sf_dir))
+    return spark.createDataFrame(sorted(counts.items()), "rule STRING, n BIGINT")
+
+
 # --- profile -----------------------------------------------------------------------------------
 
 

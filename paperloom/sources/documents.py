@@ -14,7 +14,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,6 +186,29 @@ def fail_on_malformed(docs: DataFrame) -> DataFrame:
     )
 
 
+def counted(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The documents whose body is an object, staged, and how many were read and which rules
+    they break: the counters of a strict run.
+
+    The counters are kept while the documents are written, so nothing is read for them, and
+    they speak of all documents, not of the first bad one. Spark adds what each task of the
+    write has seen; a task that is run again counts once.
+    """
+    seen = Observation("strict")
+    read = _with_doc(docs)
+    name = F.try_variant_get("doc", "$.file", "string")
+    broken = {
+        "malformed": F.col("doc").isNull(),
+        "blank": F.trim("body") == "",
+        "without_kind": files.classify_kind(F.col("file")).isNull(),
+        "without_paper_id": files.paper_id(F.col("file")).isNull(),
+        "other_file_key": name.isNotNull() & (name != F.col("file")),
+    }
+    counts = [F.count_if(rule).alias(rule_name) for rule_name, rule in broken.items()]
+    good = stage(read.observe(seen, F.count("*").alias("documents"), *counts).where(F.col("doc").isNotNull()), "counted")
+    return good, seen.get
+
+
 def _with_doc(docs: DataFrame) -> DataFrame:
     return docs if "doc" in docs.columns else parsed(docs)
 
@@ -202,35 +225,53 @@ def with_provenance(docs: DataFrame) -> DataFrame:
     return docs.withColumn("body", F.to_json(F.map_concat(members, own))).drop("doc")
 
 
-def rewritten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, rejects) of parsed documents: the first with the key ``file`` set in their
-    text, the second with the text as found.
-
-    The engine's parser gives up on strings beyond 20 million characters and on more than
-    1000 levels. Bodies that may have these are read again by Python's parser, which has no
-    such limits; they are few, and all others never leave the engine.
-    """
-    good = with_provenance(drop_malformed(docs))
-    bad = rejects(docs)
-    body = F.col("body")
+def beyond_limits(body: Column) -> Column:
+    """Objects that the engine's parser may give up on: strings beyond 20 million characters,
+    more than 1000 levels."""
     brackets = F.length(body) - F.length(F.translate(body, "[{", ""))
     large = F.ltrim(body).startswith("{") & ((F.length(body) > MOST_CHARACTERS) | (brackets > MOST_LEVELS))
-    beyond = F.coalesce(large, F.lit(False))
-    schema = T.StructType([*bad.schema.fields, T.StructField("text", T.StringType())])
-    names = bad.columns
+    return F.coalesce(large, F.lit(False))
+
+
+def converted(docs: DataFrame) -> DataFrame:
+    """Documents with ``text``, their JSON with the key ``file`` set, in place of ``body``; of
+    those that are not JSON objects ``text`` is NULL and ``body`` is as found. Staged, so each
+    document is parsed once.
+
+    Bodies that are ``beyond_limits`` are read again by Python's parser, which has no such
+    limits; they are few, and all others never leave the engine.
+    """
+    read = _with_doc(docs)
+    rewritten_body = with_provenance(read.withColumn("_raw", F.col("body"))).withColumnRenamed("body", "text")
+    found = once(rewritten_body, text=F.col("text"))
+    keep = [c for c in found.columns if c not in ("_raw", "text")]
+    found = stage(
+        found.select(*keep, F.when(F.col("text").isNull(), F.col("_raw")).alias("body"), "text"), "converted"
+    )
+    beyond = F.col("text").isNull() & beyond_limits(F.col("body"))
+    names = found.columns
     at, name_at = names.index("body"), names.index("file")
 
     def read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one at a time: each may be very large
                 row = batch.slice(i, 1)
-                text = with_file_key(row.column(at)[0].as_py(), row.column(name_at)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string())], [*names, "text"])
+                body = row.column(at)[0].as_py()
+                text = with_file_key(body, row.column(name_at)[0].as_py())
+                new = {"text": text, "body": body if text is None else None}
+                columns = [pa.array([new[n]], pa.string()) if n in new else row.column(k) for k, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    again = stage(bad.where(beyond).mapInArrow(read_again, schema), "large-documents")
-    found = again.where(F.col("text").isNotNull()).withColumn("body", F.col("text")).drop("text")
-    unread = again.where(F.col("text").isNull()).drop("text")
-    return good.unionByName(found), bad.where(~beyond).unionByName(unread)
+    again = stage(found.where(beyond).mapInArrow(read_again, found.schema), "large-documents")
+    return found.where(~beyond).unionByName(again)
+
+
+def rewritten(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects): the first with the key ``file`` set in their ``body``, the second
+    with the body as found."""
+    found = converted(docs)
+    good = found.where(F.col("text").isNotNull()).withColumn("body", F.col("text")).drop("text")
+    return good, found.where(F.col("text").isNull()).drop("text")
 
 
 def with_file_key(body: str, file: str) -> str | None:
@@ -251,7 +292,9 @@ def with_file_key(body: str, file: str) -> str | None:
         if not isinstance(value, dict):
             return None
         if "file" in value:
-            return json.dumps(value | {"file": file}, ensure_ascii=False)
+            # the key goes to the end, as in other documents
+            del value["file"]
+            body = json.dumps(value, ensure_ascii=False)
     except (ValueError, RecursionError):
         return None
     finally:
