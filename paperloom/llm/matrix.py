@@ -63,7 +63,8 @@ def _unpacked(column: pa.Array | pa.ChunkedArray, i: int, kind: str) -> np.ndarr
 
 def _by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, pa.Array]:
     """Each word's number when words are ordered by bucket, and the buckets' words:
-    list<struct<bucket, start, words>>, where the first word of a bucket has number ``start``."""
+    list<struct<bucket, start, words>>, where the first word of a bucket has number ``start``
+    and the words are joined by blanks."""
     data, offsets = buffer_of(words)
     bucket = (hash_words(data, offsets[:-1], offsets[1:], np.zeros(256, bool)) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
@@ -71,12 +72,18 @@ def _by_bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, pa.Array]:
     number[order] = np.arange(len(words))
     there, start = np.unique(bucket[order], return_index=True)
     cut = pa.ListArray.from_arrays(
-        pa.array(np.append(start, len(words)), pa.int32()), words.take(pa.array(order)).cast(pa.string())
+        pa.array(np.append(start, len(words)), pa.int32()), words.take(pa.array(order))
     )
-    columns = [pa.array(there), pa.array(start.astype(np.int32)), cut]
+    joined = pc.binary_join(cut, pa.scalar(" ", pa.large_string())).cast(pa.string())
+    columns = [pa.array(there), pa.array(start.astype(np.int32)), joined]
     return number, _list(pa.StructArray.from_arrays(columns, ["bucket", "start", "words"]))
 
 
+def _split(table: pa.Table) -> pa.Array:
+    """The words of a bucket, a list for each shard."""
+    return pc.split_pattern(table.column("words"), " ").combine_chunks()
+
+
 def document_term_matrix(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
     """``(matrix, dictionary)`` of the words `[^\\x20\\x09-\\x0D]+` of a column, as they are.
 
@@ -102,7 +109,7 @@ def document_term_matrix(docs: DataFrame, text: str = "text", keep: Sequence[str
     row = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep])
     packed = [T.StructField(n, T.BinaryType()) for n in ("indptr", "indices", "data")]
     out = T.StructType([T.StructField("shard", T.LongType()), *packed, T.StructField("rows", T.ArrayType(row))])
-    cut = T.StructType().add("bucket", "integer").add("start", "integer").add("words", T.ArrayType(T.StringType()))
+    cut = T.StructType().add("bucket", "integer").add("start", "integer").add("words", "string")
     schema = T.StructType([*out.fields, T.StructField("buckets", T.ArrayType(cut))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +144,7 @@ def document_term_matrix(docs: DataFrame, text: str = "text", keep: Sequence[str
         return place[coded.indices.to_numpy()] * buckets + bucket, coded.dictionary.take(pa.array(order))
 
     def numbered(table: pa.Table) -> pa.Table:
-        listed = table.column("words").combine_chunks()
+        listed = _split(table)
         term, _ = numbers(listed.flatten(), table.column("bucket")[0].as_py())
         at = listed.offsets.to_numpy() - listed.offsets[0].as_py()
         terms = pa.array([term[a:b].astype("<i8").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
@@ -145,7 +152,7 @@ def document_term_matrix(docs: DataFrame, text: str = "text", keep: Sequence[str
 
     def listed_words(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        _, words = numbers(table.column("words").combine_chunks().flatten(), bucket)
+        _, words = numbers(_split(table).flatten(), bucket)
         return pa.table([pa.array(np.arange(len(words)) * buckets + bucket), words], ["term", "word"])
 
     def renumbered(left: pa.Table, right: pa.Table) -> pa.Table:
