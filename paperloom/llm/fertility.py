@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from paperloom.llm.matrix import counted, word_column
 from paperloom.llm.words import BLANK, batch_rows, bounds, buffer_of, hash_words, mix, release, slices
-from paperloom.session import stage
+from paperloom.session import fits_in_broadcast, stage
 
 #: `[#*$%&|<>]`
 SYMBOL = np.zeros(256, bool)
@@ -47,6 +47,8 @@ FEWEST_TEXTS = 50
 SPREADS = 5.0
 #: ... but at least this share of the median, and this much.
 LEAST_SHARE, LEAST = 0.08, {"chars_per_token": 0.0, "byte_chars_per_token": 0.0, "fallback_share": 0.05, "token_entropy": 0.05}
+#: Pieces of a group that meets its bands by a shuffle.
+PIECES = 32
 #: Measures are counted in steps of 1 / STEPS.
 STEPS = 1024
 #: Middle half of a normal distribution, in standard deviations.
@@ -301,7 +303,16 @@ def judge(docs: DataFrame, pieces: str, ranks: str, pattern: str) -> DataFrame:
     band = F.struct("measure", "low", "high")
     # a row for each group and length, with four bands at most
     usual = bands(rows).groupBy("group", "length").agg(F.map_from_entries(F.collect_list(F.struct("measure", band))).alias("bands"))
-    met = rows.join(usual, ["group", "length"], "left")
+    usual = stage(usual, "bands")
+    if fits_in_broadcast(usual, F.to_json("bands")):
+        met = rows.join(F.broadcast(usual), ["group", "length"], "left")
+    else:
+        # a group with most of the texts is dealt over several keys
+        piece = F.xxhash64("n_tokens", "n_words", "word_chars").bitwiseAND(F.lit(PIECES - 1))
+        pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PIECES - 1).cast("long")))
+        met = rows.withColumn("_piece", piece).join(
+            usual.withColumn("_piece", pieces), ["group", "length", "_piece"], "left"
+        ).drop("_piece")
 
     def out(m: str) -> Column:
         b = F.col("bands")[m]
