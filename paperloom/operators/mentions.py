@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import files
 from paperloom.functions.identifiers import uuid_to_bytes
+from paperloom.operators.ordering import ORDER_KEY, with_order_key
+from paperloom.session import fits_in_broadcast, stage
 from paperloom.sources.documents import SOURCE_ORDER
 
 MAX_YEAR = 65535
@@ -71,17 +73,29 @@ def rejected_papers(papers: DataFrame) -> DataFrame:
 
 
 def software_dimension(
-    exploded: DataFrame, order: Sequence[str] = (*SOURCE_ORDER, "mention_pos")
+    exploded: DataFrame, order: Sequence[str] = (*SOURCE_ORDER, "mention_pos"), written: bool = False
 ) -> DataFrame:
-    """(normalizedForm, wikidataId, softwareType): id and type of the first mention seen.
+    """(normalizedForm, wikidataId, softwareType): id and type of the first mention seen; of
+    mentions at the same place, the smallest.
 
-    The smallest (order, attributes) per name is a plain minimum, so each task reduces a
-    hot name to one row before the shuffle.
+    Two steps. A hash aggregate finds the first place of each name, as one number, so each
+    task reduces a hot name to one row before the shuffle. Then the mentions at these places
+    are fetched: by broadcast if the list of names is small, else by a join on name and place,
+    which no name can make uneven. Mentions are written first unless they are ``written``.
     """
-    first = F.min(F.struct(*order, "wikidataId", "softwareType")).alias("_first")
+    rows = exploded.select("normalizedForm", "wikidataId", "softwareType", *order)
+    rows = rows if written else stage(rows, "mentions")
+    placed = with_order_key(rows, order)
+    if placed is None:
+        found = rows.groupBy("normalizedForm").agg(F.min(F.struct(*order, "wikidataId", "softwareType")).alias("_first"))
+        return found.select("normalizedForm", "_first.wikidataId", "_first.softwareType")
+    first = stage(placed.groupBy("normalizedForm").agg(F.min(ORDER_KEY).alias(ORDER_KEY)), "first-mentions")
+    first = F.broadcast(first) if fits_in_broadcast(first, "normalizedForm") else first
+    at_first = placed.join(first, ["normalizedForm", ORDER_KEY])
+    smallest = F.array_min(F.collect_set(F.struct("wikidataId", "softwareType")))
     return (
-        exploded.groupBy("normalizedForm")
-        .agg(first)
+        at_first.groupBy("normalizedForm")
+        .agg(smallest.alias("_first"))
         .select("normalizedForm", "_first.wikidataId", "_first.softwareType")
     )
 

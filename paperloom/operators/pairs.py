@@ -83,8 +83,47 @@ def restrict_to_frequent(edges: DataFrame, frequent: DataFrame) -> DataFrame:
     return _members(edges, frequent.select("softwareId"), "softwareId", "left_semi")
 
 
+def merge_equal_papers(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(paperId, softwareId, weight): of papers with the same set of names one is left, whose
+    weight is their number; ``sets`` is the list from ``equal_papers``.
+
+    A set that a third of all papers have is met by broadcast if the list is small, and by a
+    join that Spark can split otherwise; its edges are reduced in each task.
+    """
+    listed = F.broadcast(sets) if fits_in_broadcast(sets, "set") else sets
+    members = _name_sets(edges).join(listed, ["set", "degree"]).select("paperId", "set", "weight")
+    met = edges.join(members, "paperId", "left")
+    alone = met.where(F.col("set").isNull()).select("paperId", "softwareId", F.lit(1).cast("long").alias("weight"))
+    name = F.concat(F.lit("set "), F.hex("set"))
+    together = met.where(F.col("set").isNotNull()).select(name.alias("paperId"), "softwareId", "weight").distinct()
+    return alone.unionByName(together)
+
+
+def _name_sets(edges: DataFrame) -> DataFrame:
+    """(paperId, degree, set): how many names each paper has, and a digest of them.
+
+    The digest is the exclusive or of two 64-bit hashes of each name, which needs no list of
+    a paper's names. Two different sets of a size share it with a chance of 2^-128.
+    """
+    halves = [F.bit_xor(F.xxhash64(F.lit(i), "softwareId")) for i in (1, 2)]
+    summed = edges.groupBy("paperId").agg(F.count("*").alias("degree"), *(h.alias(f"_h{i}") for i, h in enumerate(halves)))
+    digest = F.unhex(F.concat(*[F.lpad(F.hex(f"_h{i}"), 16, "0") for i in (0, 1)]))
+    return summed.select("paperId", "degree", digest.alias("set"))
+
+
+def equal_papers(edges: DataFrame) -> DataFrame:
+    """(set, degree, weight): the sets of two names or more that several papers have."""
+    return (
+        _name_sets(edges.select("paperId", "softwareId"))
+        .where("degree > 1")
+        .groupBy("set", "degree")
+        .agg(F.count("*").alias("weight"))
+        .where("weight > 1")
+    )
+
+
 def _pair_up(edges: DataFrame, share: int | None = None) -> DataFrame:
-    """(s1, s2, n): pairs s1 < s2 inside a paper, summed while they are made.
+    """(s1, s2, n): pairs s1 < s2 inside a paper, summed by its weight while they are made.
 
     With ``share``, edges have the ``degree`` of their paper, and the first names of a paper
     are dealt over one piece per ``share`` of them, each of which gets all second names: the
@@ -92,14 +131,14 @@ def _pair_up(edges: DataFrame, share: int | None = None) -> DataFrame:
     """
     pieces = F.ceil(F.col("degree") / share).cast("int") if share else F.lit(1)
     piece = F.pmod(F.xxhash64("softwareId"), pieces).cast("int")
-    a = edges.select("paperId", F.col("softwareId").alias("s1"), piece.alias("piece"))
+    a = edges.select("paperId", F.col("softwareId").alias("s1"), "weight", piece.alias("piece"))
     copies = F.explode(F.sequence(F.lit(0), pieces - 1))
     b = edges.select(F.col("paperId").alias("_p"), F.col("softwareId").alias("s2"), copies.alias("_piece"))
     same = (F.col("paperId") == F.col("_p")) & (F.col("piece") == F.col("_piece"))
     return (
         a.join(b, same & (F.col("s1") < F.col("s2")))
         .groupBy("s1", "s2")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("weight").alias("n"))
     )
 
 
@@ -112,7 +151,9 @@ def co_mentions(
 ) -> DataFrame:
     """(s1, s2, n_papers) for pairs s1 < s2 named together by >= pair_support papers.
 
-    Exact for any input. Papers are split by how many frequent names they hold:
+    Exact for any input. Papers with the same frequent names count as one with a weight, if
+    that saves more pairs than there are edges. They are then split by how many frequent
+    names they hold:
 
     * up to ``max_fanout`` names: pairs are made by a self join. An edge meets at most
       ``max_fanout`` others, so the work is linear in the edges.
@@ -123,14 +164,23 @@ def co_mentions(
     ``written`` says that ``edges`` is a table already.
     """
     edges = edges if written else stage(edges, "edges")
-    frequent = stage(min_support(papers_per_software(edges), item_support), "frequent")
+    counts = stage(papers_per_software(edges), "names")
+    frequent = min_support(counts, item_support)
     fits = fits_in_broadcast(frequent, "softwareId")
     kept = _members(edges, frequent.select("softwareId"), "softwareId", "left_semi", fits)
     if not fits:
         kept = stage(kept, "frequent-edges")
-    degree = kept.groupBy("paperId").agg(F.count("*").alias("degree"))
+    sets = stage(equal_papers(kept), "equal-papers")
+    saved = F.sum((F.col("weight") - 1) * F.col("degree") * (F.col("degree") - 1) / 2)
+    n_edges = frequent.agg(F.sum("n_papers")).first()[0] or 0
+    if (sets.agg(saved).first()[0] or 0) > n_edges:
+        kept = stage(merge_equal_papers(kept, sets), "merged-edges")
+    else:
+        kept = kept.select("paperId", "softwareId", F.lit(1).cast("long").alias("weight"))
+    degree = kept.groupBy("paperId").agg(F.count("*").alias("degree"), F.max("weight").alias("_papers"))
     wide = stage(degree.where(F.col("degree") > max_fanout), "wide-papers")
-    n_wide = wide.count()
+    n_wide = wide.agg(F.sum("_papers")).first()[0] or 0
+    wide = wide.select("paperId", "degree")
     if n_wide == 0:
         pairs = _pair_up(kept)
     else:
@@ -150,7 +200,8 @@ def _with_wide_papers(
     """Add to each narrow count the number of wide papers that hold the pair.
 
     Each name's ``support - 1`` widest papers are set aside; what is left of its wide papers
-    is its rest. A pair that no narrow paper holds needs ``support`` wide ones, so at least
+    is its rest. A merged paper is as many as its weight, and is set aside only as a whole.
+    A pair that no narrow paper holds needs ``support`` wide ones, so at least
     one of them is in the rest of both names. Hence two steps find every pair that matters:
 
     1. Pairs are made from the rests only. A paper far wider than the others is set aside by
@@ -160,25 +211,26 @@ def _with_wide_papers(
        added that one of the two names has set aside: at most ``2 * (support - 1)`` lookups
        per pair, whatever the size of the papers.
     """
-    per_name = stage(papers_per_software(wide_edges), "wide-names")
+    per_name = stage(wide_edges.groupBy("softwareId").agg(F.sum("weight").alias("n_papers")), "wide-names")
     # two steps: a name's papers are numbered in pieces, and only the first of each piece
     # together, so that no task sorts all papers of a hot name
     piece = F.xxhash64("paperId").bitwiseAND(F.lit(PIECES - 1))
     order = (F.desc("degree"), "paperId")
-    in_piece = Window.partitionBy("softwareId", "piece").orderBy(*order)
-    widest_first = Window.partitionBy("softwareId").orderBy(*order)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    in_piece = Window.partitionBy("softwareId", "piece").orderBy(*order).rowsBetween(*upto)
+    widest_first = Window.partitionBy("softwareId").orderBy(*order).rowsBetween(*upto)
     aside = stage(
         wide_edges.withColumn("piece", piece)
-        .withColumn("place", F.row_number().over(in_piece))
+        .withColumn("place", F.sum("weight").over(in_piece))
         .where(F.col("place") < support)
-        .withColumn("place", F.row_number().over(widest_first))
+        .withColumn("place", F.sum("weight").over(widest_first))
         .where(F.col("place") < support)
-        .select("paperId", "softwareId"),
+        .select("paperId", "softwareId", "weight"),
         "widest-papers",
     )
     known = narrow_pairs
     if n_wide >= support:
-        rest = stage(wide_edges.join(aside, ["paperId", "softwareId"], "left_anti"), "rest")
+        rest = stage(wide_edges.join(aside.drop("weight"), ["paperId", "softwareId"], "left_anti"), "rest")
         of_rest = _pair_up(rest, max_fanout)
         known = narrow_pairs.unionByName(of_rest).groupBy("s1", "s2").agg(F.sum("n").alias("n"))
 
@@ -198,14 +250,14 @@ def _with_wide_papers(
     # set aside by s1, anywhere in s2's papers
     added = open_pairs.join(aside.withColumnRenamed("softwareId", "s1"), "s1").join(
         wide_edges.withColumnRenamed("softwareId", "s2"), ["paperId", "s2"], "left_semi"
-    ).select("s1", "s2")
+    ).select("s1", "s2", "weight")
     if n_wide >= support:
         # set aside by s2 only
         by_second = open_pairs.join(aside.withColumnRenamed("softwareId", "s2"), "s2").join(
             rest.withColumnRenamed("softwareId", "s1"), ["paperId", "s1"], "left_semi"
         )
-        added = added.unionByName(by_second.select("s1", "s2"))
-    counted = added.groupBy("s1", "s2").agg(F.count("*").alias("n"))
+        added = added.unionByName(by_second.select("s1", "s2", "weight"))
+    counted = added.groupBy("s1", "s2").agg(F.sum("weight").alias("n"))
     return (
         hopeful.select("s1", "s2", "n")
         .unionByName(counted)
@@ -228,3 +280,34 @@ def top_software(frequent: DataFrame, k: int = 10) -> DataFrame:
 
 def top_pairs(pairs: DataFrame, k: int = 20) -> DataFrame:
     return pairs.orderBy(F.desc("n_papers"), "s1", "s2").limit(k)
+
+
+#: Names whose pairs are counted first in ``most_frequent_pairs``.
+FIRST_NAMES = 64
+
+
+def most_frequent_pairs(
+    edges: DataFrame, k: int = 20, support: int = 1, max_fanout: int = MAX_FANOUT, written: bool = False
+) -> DataFrame:
+    """``top_pairs`` of all pairs with ``support`` papers, without counting most of them.
+
+    The pairs of the most frequent names are counted first. If there are k of them, the
+    smallest of the k best counts is a support that every pair of the result reaches, and so
+    do its names; the exact count then runs with that support. If not, four times as many
+    names are tried, until all names are in.
+    """
+    edges = edges if written else stage(edges, "edges")
+    counts = stage(papers_per_software(edges), "names")
+    n_names, names = counts.count(), FIRST_NAMES
+    while names < n_names:
+        # a bounded list: FIRST_NAMES times a power of four, and one of them is enough
+        first = stage(counts.orderBy(F.desc("n_papers"), "softwareId").limit(names), "first-names")
+        among = _members(edges, first.select("softwareId"), "softwareId", "left_semi")
+        best = top_pairs(co_mentions(among, support, support, max_fanout), k).agg(
+            F.count("*").alias("n"), F.min("n_papers").alias("least")
+        ).first()
+        if best["n"] == k:
+            support = max(support, best["least"])
+            break
+        names *= 4
+    return top_pairs(co_mentions(edges, support, support, max_fanout, written=True), k)

@@ -167,7 +167,7 @@ def extract_software(spark: SparkSession, source, out: str, strict: bool = True)
     sinks.write_tables(
         out,
         mentions=mentions.project_mentions(known),
-        software=mentions.software_dimension(known),
+        software=mentions.software_dimension(known, written=True),
     )
 
 
@@ -184,8 +184,8 @@ def count_mentions(
     table = typed.read_table(spark, folder, "mentions")
     edges = stage(pairs.distinct_edges(pairs.stop_list_filter(table)), "edges")
     frequent = pairs.min_support(pairs.papers_per_software(edges), support)
-    together = pairs.co_mentions(edges, support, support, written=True)
-    return pairs.frequent_count(frequent), pairs.top_software(frequent), pairs.top_pairs(together)
+    together = pairs.most_frequent_pairs(edges, support=support, written=True)
+    return pairs.frequent_count(frequent), pairs.top_software(frequent), together
 
 
 def convert_mentions(spark: SparkSession, root: str, out: str, counts: str | None = None) -> None:

@@ -127,14 +127,15 @@ ORACLES["co_mentions_wide"] = _pairs(
     100,
     320,
 )
-ORACLES["co_mentions_hot"] = _pairs(
-    f"""n AS (SELECT {_uuid('l_orderkey')} AS "paperId", unnest(['flag ' || l_returnflag,
+_FEATURES = f"""n AS (SELECT {_uuid('l_orderkey')} AS "paperId", unnest(['flag ' || l_returnflag,
       'status ' || l_linestatus, 'line ' || l_linenumber,
       'quantity ' || CAST(floor(l_quantity / 10) AS INTEGER)]) AS "softwareId" FROM lineitem),
-    edges AS (SELECT DISTINCT * FROM n)""",
-    100,
-    1500,
-)
+    edges AS (SELECT DISTINCT * FROM n)"""
+_CUSTOMERS = f"""edges AS (SELECT DISTINCT {_uuid('o_custkey')} AS "paperId", p_name AS "softwareId"
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+ORACLES["co_mentions_hot"] = _pairs(_FEATURES, 100, 1500)
+ORACLES["co_mentions_equal"] = _pairs(_FEATURES, 1, 1)
+ORACLES["top_pairs_of_all"] = _pairs(_CUSTOMERS, 1, 1) + "ORDER BY n_papers DESC, s1, s2 LIMIT 20"
 ORACLES["top_pairs"] = _pairs(_EDGES, 100, 100) + "ORDER BY n_papers DESC, s1, s2 LIMIT 20"
 
 ORACLES["software_dimension"] = f"WITH {_FOUND}, {_SOFTWARE} SELECT * FROM software"
@@ -502,6 +503,13 @@ WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (
   PARTITION BY paper ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS place FROM items)
 SELECT paper, {_ORDER} FROM r WHERE place = 1
 """
+# documents that tie go by their text: the flag and then the price differ
+ORACLES["last_documents"] = f"""
+WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (
+  PARTITION BY paper ORDER BY l_linenumber DESC, l_partkey DESC, l_returnflag DESC,
+  CAST(l_extendedprice AS VARCHAR) || '}}' DESC) AS place FROM items WHERE l_discount <> 0.1)
+SELECT paper, l_linenumber, l_partkey, l_extendedprice AS price FROM r WHERE place = 1
+"""
 ORACLES["sorted_repeat_last"] = f"""
 WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (
   PARTITION BY paper ORDER BY l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS place FROM items)

@@ -120,6 +120,20 @@ def top_pairs(spark, sf_dir):
     return pairs.top_pairs(pairs.co_mentions(edges))
 
 
+@query
+def top_pairs_of_all(spark, sf_dir):
+    """The most frequent pairs when every pair counts; most are never counted."""
+    edges = pairs.distinct_edges(views.customer_mentions(spark, sf_dir))
+    return pairs.most_frequent_pairs(edges, support=1, max_fanout=24)
+
+
+@query
+def co_mentions_equal(spark, sf_dir):
+    """Papers of a few features each, many of them with the same ones."""
+    edges = pairs.distinct_edges(views.feature_mentions(spark, sf_dir))
+    return pairs.co_mentions(edges, item_support=1, pair_support=1, max_fanout=6)
+
+
 # --- tables from documents --------------------------------------------------------------------
 
 
@@ -168,7 +182,7 @@ def paper_mentions_stored(spark, sf_dir):
 @query
 def mentions_with_software(spark, sf_dir):
     exploded = stage(_exploded(spark, sf_dir).drop("bad_body"), "mentions")
-    known = mentions.software_dimension(exploded, VIEW_ORDER).where("wikidataId <> ''")
+    known = mentions.software_dimension(exploded, VIEW_ORDER, written=True).where("wikidataId <> ''")
     return mentions.mentions_with_software(mentions.project_mentions(exploded), known)
 
 
@@ -185,7 +199,7 @@ def stored_tables(spark, sf_dir):
     sinks.write_tables(
         folder,
         papers=papers_table(spark, sf_dir),
-        software=mentions.software_dimension(exploded, VIEW_ORDER),
+        software=mentions.software_dimension(exploded, VIEW_ORDER, written=True),
         mentions=mentions.project_mentions(exploded),
     )
     papers = typed.read_table(spark, folder, "papers").select("uuid", "year")
@@ -559,6 +573,16 @@ def sorted_last_wins(spark, sf_dir):
     return ordered.select(F.substring("file", 1, 36).alias("paper"), *ITEM_ORDER)
 
 
+@query
+def last_documents(spark, sf_dir):
+    """The last document of each paper, with its text."""
+    order = ("l_linenumber", "l_partkey")
+    docs = documents.drop_malformed(views.mention_documents(spark, sf_dir)).drop("doc", "l_orderkey")
+    last = ordering.sort_by_uuid(docs.withColumn("file", documents.file_key(F.col("body"))), order, "last")
+    price = F.get_json_object("body", "$.price").cast("double")
+    return last.select(F.substring("file", 1, 36).alias("paper"), *order, price.alias("price"))
+
+
 @query
 def sorted_repeat_last(spark, sf_dir):
     ordered = ordering.sort_by_uuid(_keyed_items(spark, sf_dir), ITEM_ORDER, "repeat_last")

@@ -64,3 +64,31 @@ def test_sort_job(spark, tmp_path):
             read += [json.loads(line)["file"] for line in f]
     assert read == sorted(names)
     assert documents.scan_jsonl(spark, str(tmp_path / "sorted")).count() == 500
+
+
+def test_order_key_sorts_as_its_columns(spark):
+    data = [(p, b, n) for p in ("b", "a", None, "") for b in (0, 1 << 30, -5) for n in (7, None)]
+    df = spark.createDataFrame(data, "file_path STRING, block_start BIGINT, line_pos INT")
+    keyed = ordering.with_order_key(df, ("file_path", "block_start", "line_pos"))
+    by_key = [tuple(r)[:3] for r in keyed.orderBy(ordering.ORDER_KEY).collect()]
+    assert by_key == [tuple(r) for r in df.orderBy("file_path", "block_start", "line_pos").collect()]
+    assert keyed.select(ordering.ORDER_KEY).distinct().count() == len(data)
+
+
+def test_order_keys_that_do_not_fit(spark):
+    wide = spark.createDataFrame([(1 << 62, 1 << 62), (0, 0)], "a BIGINT, b BIGINT")
+    assert ordering.with_order_key(wide, ("a", "b")) is None
+    assert ordering.with_order_key(wide.withColumn("c", wide.a.cast("double")), ("c",)) is None
+    assert ordering.with_order_key(wide.limit(0), ("a", "b")).collect() == []
+
+
+def test_bodies_are_in_no_aggregate(spark):
+    docs = [(uid(k % 3) + ".json", "f", 0, k // 2, f"body {k}") for k in range(12)] + [(uid(9) + ".json", "f", 0, 0, "one")]
+    df = spark.createDataFrame(docs, "file STRING, file_path STRING, block_start BIGINT, line_pos BIGINT, body STRING")
+    last = ordering.last_per_key(ordering.with_key(df))
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    want = {}
+    for file, _, _, at, body in docs:
+        want[file] = max(want.get(file, (-1, "")), (at, body))
+    assert {r.file: (r.line_pos, r.body) for r in last.collect()} == want

@@ -110,3 +110,47 @@ def test_names_order_by_bytes(spark):
     mentions = [("p", "é"), ("p", "z"), ("p", "Z")]
     got = pairs.co_mentions(pairs.distinct_edges(table(spark, mentions)), 1, 1)
     assert rows(got) == [("Z", "z", 1), ("Z", "é", 1), ("z", "é", 1)]
+
+
+def with_copies(seed):
+    """Papers that are each there several times, wide ones among them, and some that are alone."""
+    rng = random.Random(seed)
+    sets = [rng.sample([f"s{i}" for i in range(70)], k) for k in (50, 40, 12, 3, 2, 1)]
+    out = [(f"c{i}-{j}", s) for i, names in enumerate(sets) for j in range(rng.randint(2, 30)) for s in names]
+    out += corpus(seed, papers=20, wide=5)
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1])
+@pytest.mark.parametrize("fanout,support", [(512, 5), (8, 12), (0, 1)])
+def test_equal_papers_count_by_their_weight(spark, seed, fanout, support):
+    mentions = with_copies(seed)
+    edges = pairs.distinct_edges(table(spark, mentions))
+    assert rows(pairs.co_mentions(edges, support, support, fanout)) == brute(mentions, support, support)
+
+
+def test_equal_papers_make_their_pairs_once(spark):
+    names = [f"s{i}" for i in range(40)]
+    edges = table(spark, [(f"p{j}", s) for j in range(50) for s in names] + [("q", "s0"), ("q", "s1")])
+    sets = session.stage(pairs.equal_papers(edges), "sets")
+    merged = pairs.merge_equal_papers(edges, sets)
+    assert merged.count() == 42
+    assert {r.weight for r in merged.where("softwareId = 's7'").collect()} == {50}
+    made = dict(((a, b), n) for a, b, n in rows(pairs._pair_up(merged)))
+    assert len(made) == 780 and made["s0", "s1"] == 51 and made["s0", "s2"] == 50
+
+
+@pytest.mark.parametrize("support", [1])
+@pytest.mark.parametrize("k", [5, 40])
+def test_most_frequent_pairs_equal_all_pairs(spark, monkeypatch, support, k):
+    monkeypatch.setattr(pairs, "FIRST_NAMES", 4)
+    mentions = with_copies(support + k)
+    want = sorted(brute(mentions, 1, support), key=lambda p: (-p[2], p[0], p[1]))[:k]
+    got = pairs.most_frequent_pairs(pairs.distinct_edges(table(spark, mentions)), k, support, 8)
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_no_pairs(spark):
+    edges = table(spark, [("p", "a"), ("q", "b")])
+    assert rows(pairs.most_frequent_pairs(edges)) == rows(pairs.co_mentions(edges.limit(0), 1, 1)) == []
