@@ -1,16 +1,38 @@
+import base64
 import hashlib
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+import tiktoken
 
 from paperloom.llm import bpe
 from paperloom.llm.queries import vocabulary
+from paperloom.llm.words import buffer_of
 
 from .fixtures import AWKWARD, awkward, nothing
 
 
 @pytest.fixture(scope="module")
 def exact():
-    return bpe.codec(*vocabulary()).exact
+    path, pattern = vocabulary()
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_ids_equal_tiktoken(exact):
+    own, rng = bpe.codec(*vocabulary()), random.Random(4)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    tokens = [exact.decode([i]) for i in range(0, 50_000, 7)]
+    texts += ["".join(rng.choices(tokens, k=rng.randint(1, 8))) for _ in range(20_000)]
+    # runs of a few characters, where a token has most pairs
+    texts += ["".join(rng.choices("ab -=.eé \n", k=rng.randint(1, 60))) for _ in range(10_000)]
+    data, offsets = buffer_of(pa.array(texts, pa.string()))
+    ids, rows = own.encode(data, offsets)
+    want = exact.encode_ordinary_batch(texts, num_threads=4)
+    assert all(ids[a:b].tolist() == w for a, b, w in zip(rows, rows[1:], want))
 
 
 def test_round_trip(spark, exact):
