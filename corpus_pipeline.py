@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import bpe, language, near_copies, personal, tiling
 from paperloom.llm.queries import table, vocabulary
+from paperloom.llm.words import batch_bytes
 from paperloom.session import fits_in_broadcast, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a batch between Spark and Python: two tasks of an executor hold some at once.
+BATCH = 1 << 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that no language's model accepts."""
+    batch_bytes(spark, BATCH)
     found = language.identify(docs.select(*COLUMNS), language.fit(docs))
     return found.where("accepted").select(*COLUMNS)
 
@@ -32,6 +36,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     are documents like any others; of a group, the row that comes first stays. The places are
     written once, as a later scan may split the files in another way.
     """
+    batch_bytes(spark, BATCH)
     rows = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     found = near_copies.near_copies(rows, size=5, threshold=80, doc_id="row")
     removed = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("row")), "removed")
@@ -41,6 +46,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have a benchmark item in them."""
+    batch_bytes(spark, BATCH)
     return tiling.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -53,6 +59,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, checked by decoding them again."""
+    batch_bytes(spark, BATCH)
     return bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), *vocabulary(), keep_ids=True)
 
 

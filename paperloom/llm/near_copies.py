@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
-from paperloom.llm.words import batch_rows, mix, release, shingles, words
+from paperloom.llm.words import batch_bytes, batch_rows, mix, release, shingles, words
 from paperloom.session import fits_in_broadcast, stage
 
 #: Chance that a pair exactly at the threshold lies beyond the signature distance.
@@ -45,6 +45,8 @@ MISSED = 2e-5
 MOST_KEYS = 64
 #: Number of keys that one hub is dealt over in a join.
 PIECES = 64
+#: Bytes of text that are cut into shingles at once, and of batches between Spark and Python.
+SLICE, BATCH = 1 << 20, 1 << 20
 _SALTS = np.random.default_rng(11).integers(1, 2**64, (2, 256), dtype=np.uint64) | np.uint64(1)
 
 
@@ -75,7 +77,7 @@ def signatures(df: DataFrame, size: int, n: int, doc_id: str, text: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, w in words(batch.column(1)):
+            for at, to, w in words(batch.column(1), size=SLICE):
                 own = shingles(w, size)
                 full = np.flatnonzero(own.counts())
                 sig = np.zeros((to - at, n), np.uint16)
@@ -154,6 +156,7 @@ def index(classes: DataFrame, chunks: int, width: int, errors: int) -> DataFrame
             row = pa.array(np.repeat(np.arange(batch.num_rows), len(keys)))
             node = batch.column(batch.schema.get_field_index("node")).take(row)
             yield pa.RecordBatch.from_arrays([node, pa.array(flat)], ["node", "key"])
+        release()
 
     return classes.select("node", "sig").mapInArrow(run, "node long, key long")
 
@@ -168,7 +171,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             node = batch.column(batch.schema.get_field_index("node")).to_pylist()
-            for at, to, w in words(column):
+            for at, to, w in words(column, size=SLICE):
                 own = shingles(w, size)
                 found = [np.unique(own.hashes[a:b]).tobytes() for a, b in zip(own.rows, own.rows[1:], strict=False)]
                 digests = [hashlib.blake2b(x, digest_size=8).digest() for x in found]
@@ -179,6 +182,7 @@ def sets_of(df: DataFrame, wanted: DataFrame, size: int, doc_id: str, text: str)
                     [pa.array([node[at + i] for i in kept], pa.int64()), pa.array([found[i] for i in kept], pa.binary())],
                     ["node", "shingles"],
                 )
+        release()
 
     found = source.select("node", "text").mapInArrow(run, "node long, shingles binary")
     # a repeated id may bring a text twice
@@ -209,6 +213,7 @@ def compared(pairs: DataFrame, sets: DataFrame, threshold: int, differences: boo
                 out["size_b"] = pa.array([n for _, n in sizes], pa.int64())
                 out["different"] = pa.array(different, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
+        release()
 
     more = ", size_a long, size_b long, different array<long>" if differences else ""
     return both.mapInArrow(run, f"a long, b long, linked boolean{more}")
@@ -304,6 +309,7 @@ def near_copies(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row; see the module's text."""
     batch_rows(df.sparkSession)
+    batch_bytes(df.sparkSession, BATCH)
     chunks, width, errors = layout(threshold)
     n, limit = chunks * width, chunks * (errors + 1)
     signed = stage(signatures(df, size, n, doc_id, text), "signatures")

@@ -197,17 +197,22 @@ def clean(
     min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` without the rows whose text has a benchmark item; columns as they are."""
-    for block in blocks(benchmark, item_id, item_text, min_match, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        schema = docs.schema
-        place = docs.columns.index(text)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    own = list(blocks(benchmark, item_id, item_text, min_match, block_words))
+    if not own:
+        return docs
+    # one pass over the texts, whatever the number of blocks
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in own]
+    schema = docs.schema
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in sent:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, _, _ in findings(lowered(batch.column(place)), sent.value, coverage)]] = False
-                yield batch.filter(pa.array(keep))
-            release()
+                keep[[row for row, _, _ in findings(lowered(batch.column(place)), block.value, coverage)]] = False
+                if not keep.all():
+                    batch = batch.filter(pa.array(keep))
+            yield batch
+        release()
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    return docs.mapInArrow(run, schema)

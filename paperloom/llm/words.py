@@ -51,6 +51,12 @@ def batch_rows(spark, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def batch_bytes(spark, size: int) -> None:
+    """Bound the bytes of batches as well, where rows may be large: texts of many words or whole
+    sets of shingles."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def release() -> None:
     """Give back freed memory at the end of a task, as workers are kept for other tasks."""
     pa.default_memory_pool().release_unused()
