@@ -63,11 +63,11 @@ def classed(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame
             units = unit_vectors(batch.column(2))
             labels = batch.column(1).to_pylist()
             raw = [None if v is None or k is None else (v + 0.0).tobytes() for v, k in zip(units, labels, strict=True)]
+            # the length of the label, so that it cannot go on in the vector
+            said = [b"" if k is None else str(k).encode() for k in labels]
             tags = [
-                None
-                if r is None
-                else hashlib.blake2b(r, digest_size=8, key=str(k).encode()[:64]).digest()
-                for r, k in zip(raw, labels, strict=True)
+                None if r is None else hashlib.blake2b(len(k).to_bytes(8, "little") + k + r, digest_size=8).digest()
+                for r, k in zip(raw, said, strict=True)
             ]
             node = [None if t is None else int.from_bytes(t, "big", signed=True) for t in tags]
             yield pa.RecordBatch.from_arrays(

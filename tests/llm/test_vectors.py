@@ -50,3 +50,11 @@ def test_empty_and_null_ids(spark):
     got = sorted(V.near_vectors(spark.createDataFrame(rows, kind)).collect(), key=str)
     assert [(r.n_links, r.kept) for r in got] == [(2, True)] * 3
     assert sorted(str(r.component_id) for r in got) == ["3", "3", "None"]
+
+
+def test_long_labels_are_told_apart_by_their_ends(spark):
+    long = "x" * 64
+    rows = [(1, long + "a", [1.0, 2.0]), (2, long + "b", [1.0, 2.0]), (3, long + "a", [1.0, 2.0]), (4, long, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, label STRING, embedding ARRAY<DOUBLE>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
