@@ -6,18 +6,24 @@ truncated, and the value sits in the column of its kind.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions.numbers import fits_float32, is_integral, number_text, storage_type
+from paperloom.functions.json_walk import walk
 from paperloom.functions.once import once
-from paperloom.session import fits_in_broadcast, stage
+from paperloom.session import stage
 
 MAX_ENUM = 20
+# Leaves of a large document that are passed on together.
+LEAVES = 10_000
 # Levels that are opened in one pass; rows that still hold a container then go on.
 LEVELS = 8
-# Number of keys that one path is dealt over in a join.
-PIECES = 64
 
 
 def flatten_json(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -90,6 +96,34 @@ def _leaf_columns() -> list[Column]:
     return [kind.alias("kind"), num.alias("num"), text.alias("str"), flag.alias("flag")]
 
 
+def flatten_large(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Leaves of the texts in ``body``, one document at a time, by a walk without limits of size
+    and depth; other columns of ``docs`` are kept. Staged. Of a text that is not a JSON object
+    there is one row, of kind ``refused``, with the text in ``str``.
+    """
+    keep = [f for f in docs.schema.fields if f.name != "body"]
+    leaf = T.StructType().add("path", "string").add("kind", "string").add("num", "double").add("str", "string").add("flag", "boolean")
+    schema = T.StructType([*keep, *leaf.fields])
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                body = batch.column(len(keep))[i].as_py()
+                try:
+                    found = walk(body, max_depth)
+                except ValueError:
+                    found = [("", "refused", None, body, None)]
+                for at in range(0, len(found), LEAVES):
+                    part = found[at : at + LEAVES]
+                    same = pa.array([i] * len(part))
+                    columns = [batch.column(k).take(same) for k in range(len(keep))]
+                    columns += [pa.array([x[k] for x in part], kind) for k, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return stage(docs.select(*(f.name for f in keep), "body").mapInArrow(run, schema), "large-leaves")
+
+
 def leaves_of(rows: DataFrame, **paths: str) -> DataFrame:
     """Leaves of typed columns, ``path="column"``: numbers, booleans and strings as they are."""
     types = dict(rows.dtypes)
@@ -109,69 +143,121 @@ def leaves_of(rows: DataFrame, **paths: str) -> DataFrame:
     return rows.select(F.inline(F.array(*leaf)))
 
 
-def summarise(leaves: DataFrame) -> DataFrame:
-    """(path, kind) totals, staged: the first of the two passes over the leaves.
-
-    All running values are fixed-width, so tasks keep one small row per path, and a path
-    that holds most of the data is reduced before the shuffle. ``few`` marks the paths that
-    may have at most MAX_ENUM distinct values. The sketch behind it fills one register of
-    512 per distinct value at most, and 20 filled registers estimate to 20; so no path with
-    20 values or fewer is missed, and one with somewhat more is sorted out by the exact
-    count of the second pass.
+#: Paths that a task sums up at once; with more, as where keys are data, it starts again.
+MOST_PATHS = 20_000
+
+_PARTIAL = (
+    "path string, kind string, n bigint, min double, max double, integral boolean, float32 boolean, "
+    "n_true bigint, n_false bigint, many boolean, seen array<struct<num: double, str: string, n: bigint>>"
+)
+
+
+def _partials(leaves: DataFrame) -> DataFrame:
+    """What each task has seen of each path and kind, with its values while they are few.
+
+    The only pass over the leaves. A set of values stops at MAX_ENUM, so a path costs a fixed
+    number of values in a task, and the sets of tasks can be added.
     """
-    totals = leaves.groupBy("path", "kind").agg(
-        F.count("*").alias("n"),
-        F.min("num").alias("min"),
-        F.max("num").alias("max"),
-        F.bool_and(is_integral(F.col("num"))).alias("integral"),
-        F.bool_and(fits_float32(F.col("num"))).alias("float32"),
-        F.count_if("flag").alias("n_true"),
-        F.count_if(~F.col("flag")).alias("n_false"),
-        F.approx_count_distinct("num", 0.05).alias("_numbers"),
-        F.approx_count_distinct("str", 0.05).alias("_strings"),
+    read = leaves.select(
+        "path", "kind", "num", "str", "flag", is_integral(F.col("num")).alias("integral"), fits_float32(F.col("num")).alias("float32")
     )
-    valued = F.col("kind").isin("number", "string")
-    few = valued & (F.greatest("_numbers", "_strings") <= MAX_ENUM)
-    return stage(totals.withColumn("few", few).drop("_numbers", "_strings"), "field-totals")
+    names = [f.split()[0] for f in _PARTIAL.split(", ")[:10]] + ["seen"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, list] = {}
+        seen: dict[tuple, dict | None] = {}
+
+        def summed() -> pa.RecordBatch:
+            rows = [(*k, *v, seen[k] is None, [{"num": x, "str": t, "n": n} for (x, t), n in (seen[k] or {}).items()]) for k, v in total.items()]
+            kinds = [pa.string()] * 2 + [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()]
+            kinds.append(pa.list_(pa.struct([("num", pa.float64()), ("str", pa.string()), ("n", pa.int64())])))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("yes", pc.cast(table.column("flag"), pa.int64()))
+            table = table.append_column("no", pc.cast(pc.invert(table.column("flag")), pa.int64()))
+            measures = [([], "count_all"), ("num", "min"), ("num", "max"), ("integral", "all"), ("float32", "all"), ("yes", "sum"), ("no", "sum")]
+            found = table.group_by(["path", "kind"]).aggregate(measures).to_pylist()
+            for r in found:
+                path, kind, *new = (r[c] for c in ("path", "kind", "count_all", "num_min", "num_max", "integral_all", "float32_all", "yes_sum", "no_sum"))
+                old = total.get((path, kind))
+                seen.setdefault((path, kind), {})
+                total[path, kind] = new if old is None else [_either(f, x, y) for f, x, y in zip(_MERGES, old, new)]
+            valued = table.filter(pc.is_in(table.column("kind"), pa.array(["number", "string"])))
+            counts = valued.group_by(["path", "kind", "num", "str"]).aggregate([([], "count_all")])
+            sizes = counts.group_by(["path", "kind"]).aggregate([([], "count_all")]).to_pylist()
+            few = [(r["path"], r["kind"]) for r in sizes if r["count_all"] <= MAX_ENUM and seen[r["path"], r["kind"]] is not None]
+            for r in sizes:
+                if r["count_all"] > MAX_ENUM:
+                    seen[r["path"], r["kind"]] = None
+            wanted = pa.table({"path": pa.array([p for p, _ in few], pa.string()), "kind": pa.array([k for _, k in few], pa.string())})
+            for r in counts.join(wanted, ["path", "kind"], join_type="inner").to_pylist():
+                key, value = (r["path"], r["kind"]), (r["num"], r["str"])
+                own = seen[key]
+                if own is not None:
+                    own[value] = own.get(value, 0) + r["count_all"]
+                    if len(own) > MAX_ENUM:
+                        seen[key] = None
+            if len(total) > MOST_PATHS:
+                yield summed()
+                total.clear()
+                seen.clear()
+        if total:
+            yield summed()
 
+    return stage(read.mapInArrow(run, _PARTIAL), "field-partials")
 
-def field_values(leaves: DataFrame, totals: DataFrame) -> DataFrame:
-    """(path, kind, value, n) for number and string paths with <= MAX_ENUM distinct values.
 
-    Only leaves of few-valued paths are grouped by value, which leaves little to shuffle.
-    The list of these paths goes to every task if it is small; otherwise, as with documents
-    whose keys are data, the leaves are dealt over ``PIECES`` keys per path and the list is
-    repeated that often, so other paths' values are left out before any grouping and a path
-    that most leaves have does not meet in one task.
+_MERGES = (sum, min, max, all, all, sum, sum)
+
+
+def _either(merge, a, b):
+    """Two values that may be missing, merged."""
+    return b if a is None else a if b is None else merge((a, b))
+
+
+def summarise(leaves: DataFrame) -> DataFrame:
+    """(path, kind) totals, staged. ``few`` marks the paths of at most MAX_ENUM distinct numbers
+    or strings, whose ``seen`` are their values with counts; the leaves are read once.
     """
-    few = totals.where("few").select("path", "kind", "integral")
+    partials = _partials(leaves)
     value = ["path", "kind", "num", "str"]
-    valued = leaves.select(*value).where(F.col("kind").isin("number", "string"))
-    if fits_in_broadcast(few, "path"):
-        counted = (
-            valued.join(F.broadcast(few), ["path", "kind"])
-            .groupBy(*value, "integral")
-            .agg(F.count("*").alias("n"))
-        )
-    else:
-        pieces = F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))
-        dealt = valued.withColumn("_piece", (F.rand(1) * PIECES).cast("int"))
-        counted = (
-            dealt.join(few.withColumn("_piece", pieces), ["path", "kind", "_piece"])
-            .groupBy(*value, "integral")
-            .agg(F.count("*").alias("n"))
-        )
-    # few-valued paths have a few dozen groups at most, whatever their row count
-    per_path = Window.partitionBy("path", "kind")
+    totals = partials.groupBy("path", "kind").agg(
+        F.sum("n").alias("n"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.bool_and("integral").alias("integral"),
+        F.bool_and("float32").alias("float32"),
+        F.coalesce(F.sum("n_true"), F.lit(0)).alias("n_true"),
+        F.coalesce(F.sum("n_false"), F.lit(0)).alias("n_false"),
+        F.bool_or("many").alias("many"),
+    )
+    # a task has MAX_ENUM values of a path at most, so this is short beside the leaves
+    counted = (
+        partials.where("NOT many").select("path", "kind", F.inline("seen")).groupBy(*value).agg(F.sum("n").alias("n"))
+    )
+    # paths that stay few have few values; of others only the number counts
+    places = Window.partitionBy("path", "kind").orderBy("num", "str")
+    least = counted.withColumn("place", F.row_number().over(places)).where(F.col("place") <= MAX_ENUM + 1)
+    seen = least.groupBy("path", "kind").agg(F.collect_list(F.struct("num", "str", "n")).alias("seen"))
+    few = ~F.col("many") & F.col("kind").isin("number", "string") & (F.size("seen") <= MAX_ENUM)
+    joined = totals.join(seen, ["path", "kind"], "left")
+    few = F.coalesce(few, F.lit(False))
+    return stage(
+        joined.select(*[c for c in totals.columns if c != "many"], few.alias("few"), F.when(few, F.col("seen")).alias("seen")),
+        "field-totals",
+    )
+
+
+def field_values(totals: DataFrame) -> DataFrame:
+    """(path, kind, value, n) for number and string paths with <= MAX_ENUM distinct values."""
+    rows = totals.where("few").select("path", "kind", "integral", F.size("seen").cast("long").alias("n_distinct"), F.inline("seen"))
     text = F.when(F.col("kind") == "string", F.col("str")).otherwise(
         F.when(F.col("integral") & (F.abs("num") < 1e37), F.col("num").cast("decimal(38,0)").cast("string"))
         .otherwise(F.col("num").cast("string"))
     )
-    return (
-        counted.withColumn("n_distinct", F.count("*").over(per_path))
-        .where(F.col("n_distinct") <= MAX_ENUM)
-        .select("path", "kind", text.alias("value"), "num", "n", "n_distinct")
-    )
+    return rows.select("path", "kind", text.alias("value"), "num", "n", "n_distinct")
 
 
 def field_profile(totals: DataFrame, values: DataFrame, strict: bool = False) -> DataFrame:

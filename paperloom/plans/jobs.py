@@ -127,7 +127,7 @@ def profile_path(
     max_depth: int | None = None,
     strict: bool = False,
     spread: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profile of one .jsonl or .jsonl.gz file, or of the shard files of a directory.
 
     ``spread`` deals the lines of gzip files, each read in one task, over more tasks.
@@ -142,13 +142,24 @@ def profile_path(
 
 def profile_json(
     lines: DataFrame, max_depth: int | None = None, strict: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(field_profile, field_values) of JSON bodies."""
-    check = documents.fail_on_malformed if strict else documents.drop_malformed
-    leaves = profile.flatten_json(check(lines).select("doc"), max_depth)
-    totals = profile.summarise(leaves)
-    values = profile.field_values(leaves, totals)
-    return profile.field_profile(totals, values, strict), values
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(field_profile, field_values, rejects) of JSON bodies.
+
+    Documents beyond the engine's limits are walked by themselves and count like all others.
+    ``rejects`` are the bodies that are not JSON objects, as found; ``strict`` stops at them.
+    """
+    read = documents.parsed(lines)
+    leaves = profile.flatten_json(read.where(F.col("doc").isNotNull()).select("doc"), max_depth)
+    unread = stage(read.where(F.col("doc").isNull()).drop("doc"), "unread")
+    beyond = documents.beyond_limits(F.col("body"))
+    large = profile.flatten_large(unread.where(beyond), max_depth)
+    refused = large.where("kind = 'refused'").withColumn("body", F.col("str"))
+    rejects = unread.where(~beyond).unionByName(refused.select(*unread.columns))
+    if strict and (n := rejects.count()):
+        raise ValueError(f"{n} bodies that are not JSON objects: {rejects.first()['body'][:200]}")
+    totals = profile.summarise(leaves.unionByName(large.where("kind <> 'refused'").select(*leaves.columns)))
+    values = profile.field_values(totals)
+    return profile.field_profile(totals, values, strict), values, rejects
 
 
 def extract_software(spark: SparkSession, source, out: str, strict: bool = True) -> None:

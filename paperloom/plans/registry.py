@@ -457,7 +457,7 @@ def json_field_values(spark, sf_dir):
 
 @query
 def json_profile_report(spark, sf_dir):
-    return profile.profile_report(*jobs.profile_json(views.event_documents(spark, sf_dir)))
+    return profile.profile_report(*jobs.profile_json(views.event_documents(spark, sf_dir))[:2])
 
 
 @query
@@ -465,7 +465,7 @@ def storage_types(spark, sf_dir):
     """The profile of typed columns."""
     leaves = _line_item_leaves(spark, sf_dir)
     totals = profile.summarise(leaves)
-    return profile.field_profile(totals, profile.field_values(leaves, totals))
+    return profile.field_profile(totals, profile.field_values(totals))
 
 
 def _line_item_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:

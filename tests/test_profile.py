@@ -1,3 +1,5 @@
+import json
+import random
 import struct
 
 import pytest
@@ -7,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paperloom import session
+from paperloom.functions.json_walk import walk as walk_text
 from paperloom.functions.numbers import fits_float32, is_integral
 from paperloom.operators import profile
 from paperloom.plans import jobs
@@ -18,7 +21,7 @@ def leaves(spark, docs, depth=None):
 
 
 def fields(spark, docs, **kw):
-    found, values = jobs.profile_json(bodies(spark, docs), **kw)
+    found, values, _ = jobs.profile_json(bodies(spark, docs), **kw)
     return {(r.path, r.kind): r for r in found.collect()}, values
 
 
@@ -120,7 +123,7 @@ def test_float32_rule_on_bits(spark):
 
 def test_report(spark):
     docs = [{"t": True, "s": "b", "n": 1, "f": 0.5, "w": f"w{i}", "k": i} for i in range(25)] + [{"s": "a", "n": -3}]
-    found, values = jobs.profile_json(bodies(spark, docs))
+    found, values, _ = jobs.profile_json(bodies(spark, docs))
     lines = [r.line for r in profile.profile_report(found, values).collect()]
     assert lines == [
         ".f;float32;0.500000;0.500000;0.500000:25",
@@ -130,3 +133,57 @@ def test_report(spark):
         ".t;true:25;false:0",
         ".w;string",
     ]
+
+
+def random_value(rng, depth):
+    pick = rng.random()
+    if depth and pick < 0.3:
+        return {rng.choice(["a", "b", "é", "a b", ""]): random_value(rng, depth - 1) for _ in range(rng.randrange(4))}
+    if depth and pick < 0.5:
+        return [random_value(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return rng.choice([None, True, False, 1, -2.5, 0, -0.0, 1e300, "", "x", 'q"\\\n', "😀", 12345678901234567890])
+
+
+def test_walk_gives_the_leaves_that_the_engine_gives(spark):
+    rng = random.Random(8)
+    docs = [{"k": random_value(rng, 6), "l": random_value(rng, 3)} for _ in range(150)]
+    texts = [json.dumps(d, ensure_ascii=i % 2 == 0, indent=i % 3 or None) for i, d in enumerate(docs)]
+    texts += ['{"a": 1, "a": {"b": 2}}', '{"a": [1, {"b": 2}], "c": 0, "a": "last"}', ' {"a" : [ ] , "b" : { } } ', "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "line_pos INT, body STRING")
+    for depth in (None, 2):
+        want = profile.flatten_json(documents.drop_malformed(df).select("line_pos", "doc"), depth)
+        got = profile.flatten_large(df, depth)
+        cut = lambda r: (r.line_pos, r.path, r.kind, r.num, None if r.kind == "truncated" else r.str, r.flag)
+        assert sorted(map(str, map(cut, got.collect()))) == sorted(map(str, map(cut, want.collect())))
+
+
+@pytest.mark.parametrize(
+    "text", ["", " ", "[1]", "1", "{", "{}{}", "{} x", '{"a"}', '{"a":}', '{"a":1,}', '{"a":[1,]}', '{"a":[1}', '{"a":01}', '{"a":1e400}', '{"a":NaN}', "{'a':1}", '{"a":"x', '{"a":tru}', '{"a" 1}']
+)
+def test_walk_refuses_what_is_not_an_object(text):
+    with pytest.raises(ValueError):
+        walk_text(text)
+
+
+def test_large_documents_are_profiled_and_refused_ones_returned(spark):
+    deep = '{"a":' * 1500 + "7" + "}" * 1500
+    texts = ['{"v": 1}', '{"v": 2, "s": "' + "x" * 25_000_000 + '"}', deep, deep[:-1], "not JSON"]
+    found, values, rejects = jobs.profile_json(bodies(spark, texts))
+    got = {r.path: (r.kind, r.n, r.min, r.max) for r in found.collect()}
+    assert got == {".v": ("number", 2, 1.0, 2.0), ".s": ("string", 1, None, None), ".a" * 1500: ("number", 1, 7.0, 7.0)}
+    assert sorted(len(r.body) for r in rejects.collect()) == sorted([len(deep) - 1, 8])
+    assert {len(r.value) for r in values.where("path = '.s'").collect()} == {25_000_000}
+    with pytest.raises(ValueError, match="2 bodies"):
+        jobs.profile_json(bodies(spark, texts), strict=True)
+
+
+def test_values_stop_at_twenty_in_and_across_tasks(spark, monkeypatch):
+    rows = [(f".p{k}", "number", float(i % k), None, None) for k in (1, 19, 20, 21, 300) for i in range(600)]
+    rows += [(".s", "string", None, f"v{i % 20}", None) for i in range(600)] + [(".n", "null", None, None, None)] * 5
+    leaves = spark.createDataFrame(rows, "path STRING, kind STRING, num DOUBLE, str STRING, flag BOOLEAN")
+    for n in (1, 7):
+        totals = profile.summarise(leaves.repartition(n))
+        assert {r.path for r in totals.where("few").collect()} == {".p1", ".p19", ".p20", ".s"}
+        got = {(r.path, r.value): (r.n, r.n_distinct) for r in profile.field_values(totals).collect()}
+        assert len(got) == 1 + 19 + 20 + 20
+        assert got[".p20", "3"] == (30, 20) and got[".s", "v7"] == (30, 20) and got[".p1", "0"] == (600, 1)
