@@ -162,14 +162,18 @@ def profile_json(
     return profile.field_profile(totals, values, strict), values, rejects
 
 
-def extract_software(spark: SparkSession, source, out: str, strict: bool = True) -> None:
+def extract_software(
+    spark: SparkSession, source, out: str, strict: bool = True, spread: int | None = None
+) -> None:
     """JSON lines of mention documents to the mentions and software tables.
 
+    ``spread`` deals the lines of gzip files, each read in one task, over more tasks; here and
+    in ``extract_papers`` and ``sort_jsonl``.
     The mentions are staged between, so that the text is read and parsed once for both.
     Unreadable lines and mentions without a paper id stop the job, or are left out if not
     ``strict``.
     """
-    exploded = mentions.explode_mentions(typed.scan_mentions_json(spark, source, strict))
+    exploded = mentions.explode_mentions(typed.scan_mentions_json(spark, source, strict, spread))
     has_id = F.coalesce(F.length("file") >= 36, F.lit(False))
     if strict:
         message = F.concat(F.lit("mention without a paper id: "), F.coalesce("file", F.lit("")))
@@ -182,9 +186,11 @@ def extract_software(spark: SparkSession, source, out: str, strict: bool = True)
     )
 
 
-def extract_papers(spark: SparkSession, source, out: str, strict: bool = True) -> None:
+def extract_papers(
+    spark: SparkSession, source, out: str, strict: bool = True, spread: int | None = None
+) -> None:
     """JSON lines of paper documents to the papers table."""
-    papers = typed.scan_papers(spark, source, strict)
+    papers = typed.scan_papers(spark, source, strict, spread)
     sinks.write_tables(out, papers=mentions.project_papers(papers, strict))
 
 
@@ -199,9 +205,12 @@ def count_mentions(
     return pairs.frequent_count(frequent), pairs.top_software(frequent), together
 
 
-def convert_mentions(spark: SparkSession, root: str, out: str, counts: str | None = None) -> None:
-    """Tree of mention documents to one record per document, and raw counts if asked for."""
-    found = documents.scan_mention_files(spark, root)
+def convert_mentions(
+    spark: SparkSession, root: str, out: str, counts: str | None = None, shards: Iterable[str] | None = None
+) -> None:
+    """Tree of mention documents, or some of its shards, to one record per document, and raw
+    counts if asked for."""
+    found = documents.scan_mention_files(spark, root, shards)
     sinks.write_paper_mentions(mentions.mentions_per_paper(typed.decode_mentions(found, strict=True)), out)
     if counts:
         named = typed.read_paper_mentions(spark, out).select(
@@ -214,8 +223,11 @@ def convert_mentions(spark: SparkSession, root: str, out: str, counts: str | Non
 def convert_paper_ids(
     spark: SparkSession, source: str, out: str, oa_link: bool = True, strict: bool = True
 ) -> DataFrame:
-    """Identifier JSON lines to stored records. Returns the round-trip mismatches."""
-    rows = typed.scan_paper_ids(spark, source, strict)
+    """Identifier JSON lines to stored records. Returns the round-trip mismatches.
+
+    The rows are staged between, so that the source is read and parsed once for both.
+    """
+    rows = stage(typed.scan_paper_ids(spark, source, strict), "paper-ids")
     stored = identifiers.normalise_paper_ids(rows, strict)
     sinks.write_paper_ids(identifiers.drop_oa_link(stored, oa_link), out)
     return identifiers.roundtrip_mismatches(rows)
@@ -225,9 +237,11 @@ def count_licences(spark: SparkSession, path: str) -> DataFrame:
     return licences.licence_histogram(typed.read_paper_ids(spark, path))
 
 
-def sort_jsonl(spark: SparkSession, source, out: str, on_duplicate: str = "keep") -> None:
+def sort_jsonl(
+    spark: SparkSession, source, out: str, on_duplicate: str = "keep", spread: int | None = None
+) -> None:
     """JSON lines to gzip JSON lines ordered by the UUID in ``file``."""
-    rows = documents.scan_jsonl(spark, source).withColumn("file", documents.file_key(F.col("body")))
+    rows = documents.scan_jsonl(spark, source, spread).withColumn("file", documents.file_key(F.col("body")))
     sinks.write_sorted_jsonl(
         ordering.sort_by_uuid(rows, on_duplicate=on_duplicate, strict=True), out
     )

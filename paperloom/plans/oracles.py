@@ -157,7 +157,7 @@ FROM items WHERE l_discount <> 0.1
 ORACLES["paper_mentions_stored"] = ORACLES["mentions_per_paper"]
 
 ORACLES["mentions_with_software"] = f"""
-WITH {_FOUND}, {_SOFTWARE}
+WITH {_FOUND.replace("found AS (", "found AS MATERIALIZED (")}, {_SOFTWARE.replace("software AS (", "software AS MATERIALIZED (")}
 SELECT paper AS "paperId", f.software AS "softwareId", s."normalizedForm", s."wikidataId",
        s."softwareType"
 FROM found f LEFT JOIN (SELECT * FROM software WHERE "wikidataId" <> '') s

@@ -39,12 +39,12 @@ def decode_paper_ids(docs: DataFrame, strict: bool = False) -> DataFrame:
     return rows.withColumns(filled)
 
 
-def scan_mentions_json(spark: SparkSession, path, strict: bool = False) -> DataFrame:
-    return decode_mentions(scan_jsonl(spark, path), strict)
+def scan_mentions_json(spark: SparkSession, path, strict: bool = False, spread: int | None = None) -> DataFrame:
+    return decode_mentions(scan_jsonl(spark, path, spread), strict)
 
 
-def scan_papers(spark: SparkSession, path, strict: bool = False) -> DataFrame:
-    return decode_papers(scan_jsonl(spark, path), strict)
+def scan_papers(spark: SparkSession, path, strict: bool = False, spread: int | None = None) -> DataFrame:
+    return decode_papers(scan_jsonl(spark, path, spread), strict)
 
 
 def scan_paper_ids(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -92,3 +92,13 @@ def test_bodies_are_in_no_aggregate(spark):
     for file, _, _, at, body in docs:
         want[file] = max(want.get(file, (-1, "")), (at, body))
     assert {r.file: (r.line_pos, r.body) for r in last.collect()} == want
+
+
+def test_spread_keeps_the_source_order(spark, tmp_path):
+    lines = [json.dumps({"file": f"{uid(i % 5)}.json", "i": i}) for i in range(200)]
+    with gzip.open(tmp_path / "x.jsonl.gz", "wt") as f:
+        f.write("\n".join(lines))
+    for n, spread in enumerate((None, 7)):
+        out = str(tmp_path / f"out{n}")
+        jobs.sort_jsonl(spark, str(tmp_path / "x.jsonl.gz"), out, "last", spread)
+        assert sorted(json.loads(r.value)["i"] for r in spark.read.text(out).collect()) == list(range(195, 200))
