@@ -1,5 +1,6 @@
 """Rows that every operator must stand: nulls, empty and long texts, ties, repeats, clashes."""
 
+import base64
 import re
 
 AWKWARD = [
@@ -57,3 +58,12 @@ def components(n, links):
     for a, b in links:
         parent[root(a)] = root(b)
     return [root(i) for i in range(n)]
+
+
+def tiktoken_of(path, pattern):
+    """The reference encoder of a vocabulary of ranks."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -1,25 +1,20 @@
-import base64
 import hashlib
 import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-import tiktoken
 
 from paperloom.llm import bpe
 from paperloom.llm.queries import vocabulary
 from paperloom.llm.words import buffer_of
 
-from .fixtures import AWKWARD, awkward, nothing
+from .fixtures import AWKWARD, awkward, nothing, tiktoken_of
 
 
 @pytest.fixture(scope="module")
 def exact():
-    path, pattern = vocabulary()
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken_of(*vocabulary())
 
 
 def test_ids_equal_tiktoken(exact):

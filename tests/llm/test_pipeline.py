@@ -6,7 +6,7 @@ import pytest
 import corpus_pipeline as P
 from paperloom.llm.queries import vocabulary
 
-from .fixtures import components, shingle_set
+from .fixtures import components, shingle_set, tiktoken_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,9 +68,8 @@ def test_each_stage(spark, docs, tmp_path):
     assert "<email>" in changed.text and "@" not in changed.text and changed.n_chars == len(changed.text)
     before, after = taken["bpe"]
     assert ids(before) == ids(after)
-    from paperloom.llm import bpe
 
-    exact = bpe.codec(*vocabulary()).exact
+    exact = tiktoken_of(*vocabulary())
     by_id = {r.doc_id: r for r in after}
     assert all(by_id[r.doc_id].ids == exact.encode_ordinary(r.text or "") for r in before)
 
@@ -85,7 +84,7 @@ def test_empty_table(spark, docs, tmp_path):
 
 def test_query_is_registered(spark):
     entry = importlib.import_module("__spark_entry__")
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     out = entry.queries()["pipeline"](spark, SF)
     assert 0 < out.count() <= 200 and "ids" in out.columns
 
