@@ -48,6 +48,22 @@ def test_scan_documents(spark, tree):
     assert rows(documents.scan_documents(spark, "file://" + tree + "/").select("shard").distinct()) == [("00",), ("1e",)]
 
 
+def test_tasks_list_and_read_a_tree(spark, tree, tmp_path, monkeypatch):
+    odd = tmp_path / "in dir" / "a b" / "_hidden"
+    odd.mkdir(parents=True)
+    (odd / f"{uid(9)}.json").write_text("{}")
+    (odd.parent / f".{uid(9)}.json").write_text("{}")
+    (odd.parent / f"{uid(9)}.json").write_bytes(b'{"a": "\xff"}')
+    (odd.parent / f"{uid(10)}.json").write_bytes(b"")
+    (tmp_path / "in dir" / f"{uid(11)}.json").write_text("{}")
+    as_bytes = lambda df: rows(df.select("shard", "file", "kind", "paper_id", F.hex(F.col("body").cast("binary"))).na.fill("none"))
+    assert documents.scan_tree(spark, tree).inputFiles() == []  # no listing on the driver
+    own = as_bytes(documents.scan_tree(spark, tree)), rows(documents.list_documents(spark, tree))
+    monkeypatch.setattr(documents, "_listed", lambda *_: None)
+    theirs = as_bytes(documents.scan_tree(spark, tree)), rows(documents.list_documents(spark, tree))
+    assert [set(a) ^ set(b) for a, b in zip(own, theirs, strict=True)] == [set(), set()] and own == theirs
+
+
 def test_malformed_documents_are_rejected_not_lost(spark, tree):
     found = documents.scan_documents(spark, tree)
     bad = documents.rejects(found)
