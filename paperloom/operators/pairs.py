@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.files import UUID_RE
+from paperloom.functions.identifiers import bytes_to_uuid
 from paperloom.schemas import STOP_WORDS
 from paperloom.session import fits_in_broadcast, stage
 
@@ -32,9 +34,35 @@ def exclude_stop_list(mentions: DataFrame, words: DataFrame) -> DataFrame:
     return _members(mentions, words.select("softwareId"), "softwareId", "left_anti")
 
 
+#: Stands before the bytes of ids that are not UUIDs, so that no packed one has 16 bytes.
+_PLAIN = bytes(17)
+
+
+def packed(paper: Column) -> Column:
+    """A paper's id in few bytes, for shuffles: a UUID in lower case as its 16, others as text
+    behind ``_PLAIN``. Told apart by length, so nothing is lost."""
+    plain = F.concat(F.lit(_PLAIN), paper.cast("binary"))
+    return F.when(paper.rlike(f"^{UUID_RE}\\z"), F.unhex(F.translate(paper, "-", ""))).otherwise(plain)
+
+
+def unpacked(paper: Column) -> Column:
+    text = F.substring(paper, len(_PLAIN) + 1, 2**31 - 1).cast("string")
+    return F.when(F.length(paper) == 16, bytes_to_uuid(paper)).otherwise(text)
+
+
 def distinct_edges(mentions: DataFrame) -> DataFrame:
     """(paperId, softwareId) once each. Repeats are removed before and after the shuffle."""
-    return mentions.select("paperId", "softwareId").distinct()
+    if dict(mentions.dtypes)["paperId"] != "string":
+        return mentions.select("paperId", "softwareId").distinct()
+    edges = mentions.select(packed(F.col("paperId")).alias("paperId"), "softwareId").distinct()
+    return edges.select(unpacked(F.col("paperId")).alias("paperId"), "softwareId")
+
+
+def _stage_edges(edges: DataFrame) -> DataFrame:
+    """The edges as a table with packed ids: pairs are counted by paper, and no result names one."""
+    if dict(edges.dtypes)["paperId"] == "string":
+        edges = edges.select(packed(F.col("paperId")).alias("paperId"), "softwareId")
+    return stage(edges, "edges", "zstd")
 
 
 def papers_per_software(edges: DataFrame) -> DataFrame:
@@ -85,18 +113,15 @@ def restrict_to_frequent(edges: DataFrame, frequent: DataFrame) -> DataFrame:
 
 def merge_equal_papers(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """(paperId, softwareId, weight): of papers with the same set of names one is left, whose
-    weight is their number; ``sets`` is the list from ``equal_papers``.
+    weight is their number; ``sets`` is the list from ``equal_papers``. Papers of one name, which
+    have no pairs, are left out.
 
-    A set that a third of all papers have is met by broadcast if the list is small, and by a
-    join that Spark can split otherwise; its edges are reduced in each task.
+    The edges are met with the papers that are left: where they are if the list is small, and
+    else by one join that Spark can split.
     """
-    listed = F.broadcast(sets) if fits_in_broadcast(sets, "set") else sets
-    members = _name_sets(edges).join(listed, ["set", "degree"]).select("paperId", "set", "weight")
-    met = edges.join(members, "paperId", "left")
-    alone = met.where(F.col("set").isNull()).select("paperId", "softwareId", F.lit(1).cast("long").alias("weight"))
-    name = F.concat(F.lit("set "), F.hex("set"))
-    together = met.where(F.col("set").isNotNull()).select(name.alias("paperId"), "softwareId", "weight").distinct()
-    return alone.unionByName(together)
+    left = sets.select(F.col("one").alias("paperId"), "weight")
+    left = F.broadcast(left) if fits_in_broadcast(left, "paperId") else left
+    return edges.join(left, "paperId").select("paperId", "softwareId", "weight")
 
 
 def _name_sets(edges: DataFrame) -> DataFrame:
@@ -112,13 +137,13 @@ def _name_sets(edges: DataFrame) -> DataFrame:
 
 
 def equal_papers(edges: DataFrame) -> DataFrame:
-    """(set, degree, weight): the sets of two names or more that several papers have."""
+    """(set, degree, weight, one): the sets of two names or more, how many papers have each,
+    and the first of these."""
     return (
         _name_sets(edges.select("paperId", "softwareId"))
-        .where("degree > 1")
+        .where("degree > 1 and paperId is not null")
         .groupBy("set", "degree")
-        .agg(F.count("*").alias("weight"))
-        .where("weight > 1")
+        .agg(F.count("*").alias("weight"), F.min("paperId").alias("one"))
     )
 
 
@@ -163,7 +188,7 @@ def co_mentions(
     names and of wide papers. Without wide papers the second way is left out of the plan.
     ``written`` says that ``edges`` is a table already.
     """
-    edges = edges if written else stage(edges, "edges")
+    edges = edges if written else _stage_edges(edges)
     counts = stage(papers_per_software(edges), "names")
     frequent = min_support(counts, item_support)
     fits = fits_in_broadcast(frequent, "softwareId")
@@ -296,14 +321,14 @@ def most_frequent_pairs(
     do its names; the exact count then runs with that support. If not, four times as many
     names are tried, until all names are in.
     """
-    edges = edges if written else stage(edges, "edges")
+    edges = edges if written else _stage_edges(edges)
     counts = stage(papers_per_software(edges), "names")
     n_names, names = counts.count(), FIRST_NAMES
     while names < n_names:
         # a bounded list: FIRST_NAMES times a power of four, and one of them is enough
         first = stage(counts.orderBy(F.desc("n_papers"), "softwareId").limit(names), "first-names")
         among = _members(edges, first.select("softwareId"), "softwareId", "left_semi")
-        best = top_pairs(co_mentions(among, support, support, max_fanout), k).agg(
+        best = top_pairs(co_mentions(stage(among, "first-edges", "zstd"), support, support, max_fanout, written=True), k).agg(
             F.count("*").alias("n"), F.min("n_papers").alias("least")
         ).first()
         if best["n"] == k:

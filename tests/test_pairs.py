@@ -3,9 +3,10 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
-from conftest import rows
+from conftest import rows, uid
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from paperloom import session
 from paperloom.operators import pairs
@@ -154,3 +155,23 @@ def test_most_frequent_pairs_equal_all_pairs(spark, monkeypatch, support, k):
 def test_no_pairs(spark):
     edges = table(spark, [("p", "a"), ("q", "b")])
     assert rows(pairs.most_frequent_pairs(edges)) == rows(pairs.co_mentions(edges.limit(0), 1, 1)) == []
+
+
+def test_packed_ids_lose_nothing(spark):
+    ids = [uid(7), uid(7).upper(), uid(7) + "\n", "{" + uid(7) + "}", "", "p", "x" * 16, "\0" * 16, "ä", None]
+    found = spark.createDataFrame([(i,) for i in ids], "paperId STRING").select(
+        "paperId", pairs.packed(F.col("paperId")).alias("packed")
+    )
+    read = found.select("paperId", "packed", pairs.unpacked(F.col("packed")).alias("again")).collect()
+    assert [r.again for r in read] == ids
+    assert [len(r.packed) for r in read[:2]] == [16, 53]
+    assert len({bytes(r.packed) for r in read[:-1]}) == len(ids) - 1
+
+
+def test_merging_equal_papers_shuffles_no_edges(spark, capsys):
+    edges = session.stage(table(spark, [(uid(j), s) for j in range(9) for s in "abc"] + [(None, "a"), (None, "b")]), "edges")
+    sets = session.stage(pairs.equal_papers(edges), "sets")
+    merged = pairs.merge_equal_papers(edges, sets)
+    merged.explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
+    assert rows(merged) == [(uid(0), s, 9) for s in "abc"]
