@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import files
 from paperloom.functions.identifiers import uuid_to_bytes
+from paperloom.functions.once import once
 from paperloom.session import fits_in_broadcast, stage
 from paperloom.sources.documents import SOURCE_ORDER
 
 
 def with_key(docs: DataFrame) -> DataFrame:
     """Add ``key``: the 16 bytes of the UUID that ``file`` starts with, NULL if there is none."""
-    return docs.withColumn("key", uuid_to_bytes(files.paper_id(F.col("file"))))
+    # once each: the filter on keys would take the expressions along, and with them a parse of
+    # the body, if ``file`` comes from there
+    named = once(docs, _paper=files.paper_id(F.col("file")))
+    return once(named, key=uuid_to_bytes(F.col("_paper"))).drop("_paper")
 
 
 def unkeyed(docs: DataFrame) -> DataFrame:
@@ -44,11 +48,14 @@ def sort_by_uuid(
     if on_duplicate == "last":
         keyed = last_per_key(keyed, order)
     elif on_duplicate == "repeat_last":
-        keyed = keyed if BODIES.isdisjoint(keyed.columns) else stage(keyed, "keyed")
+        keyed = stage(keyed, "keyed", "zstd")
         last = last_per_key(keyed, order, written=True).drop(*order)
         keyed = keyed.select("key", *order).join(last, "key")
     elif on_duplicate != "keep":
         raise ValueError(f"on_duplicate: {on_duplicate}")
+    if on_duplicate == "repeat_last" or (on_duplicate == "keep" and not BODIES.isdisjoint(keyed.columns)):
+        # a sort reads its source twice, first to draw the ranges
+        keyed = stage(keyed, "unsorted", "zstd")
     return keyed.orderBy("key", *order)
 
 
@@ -71,7 +78,7 @@ def last_per_key(keyed: DataFrame, order: Sequence[str] = SOURCE_ORDER, written:
     if BODIES.isdisjoint(rest):
         last = F.max(F.struct(*order, *rest)).alias("_last")
         return keyed.groupBy("key").agg(last).select("key", "_last.*").select(*keyed.columns)
-    rows = keyed if written else stage(keyed, "keyed")
+    rows = keyed if written else stage(keyed, "keyed", "zstd")
     placed = with_order_key(rows, order)
     place = F.col(ORDER_KEY) if placed is not None else F.struct(*order)
     placed = rows if placed is None else placed
@@ -81,7 +88,8 @@ def last_per_key(keyed: DataFrame, order: Sequence[str] = SOURCE_ORDER, written:
     )
     small = fits_in_broadcast(listed, "key")
     met = placed.join(F.broadcast(listed) if small else listed, "key", "left")
-    last = met.where(F.col("_last").isNull() | (place == F.col("_last")))
+    # written, as it is read for ties, for the result and for the ranges of a sort
+    last = stage(met.where(F.col("_last").isNull() | (place == F.col("_last"))), "last", "zstd")
     ties = last.where(F.col("_last").isNotNull()).groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     if ties.isEmpty():
         return last.select(*rows.columns)
@@ -134,7 +142,7 @@ def with_position(ordered: DataFrame) -> DataFrame:
     numbered = ordered.withColumn("_part", F.spark_partition_id()).withColumn(
         "_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     )
-    staged = stage(numbered, "ordered")
+    staged = stage(numbered, "ordered", "zstd")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition of the sort; their number is a setting, not data
     starts = (
