@@ -158,7 +158,7 @@ def test_no_pairs(spark):
 
 
 def test_packed_ids_lose_nothing(spark):
-    ids = [uid(7), uid(7).upper(), uid(7) + "\n", "{" + uid(7) + "}", "", "p", "x" * 16, "\0" * 16, "ä", None]
+    ids = [uid(0xABC7), uid(0xABC7).upper(), uid(0xABC7) + "\n", "{" + uid(0xABC7) + "}", "", "p", "x" * 16, "\0" * 16, "ä", None]
     found = spark.createDataFrame([(i,) for i in ids], "paperId STRING").select(
         "paperId", pairs.packed(F.col("paperId")).alias("packed")
     )
