@@ -39,6 +39,17 @@ def test_spread_only_few_files(spark, tmp_path):
         assert rows(dealt) == rows(df)
 
 
+def test_spread_deals_large_files_over_more_tasks(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b [1]%20"
+    spark.range(1000).repartition(6).write.parquet(str(folder / "t"))
+    df = spark.read.parquet(str(folder / "t").replace("[", "\\[").replace("]", "\\]"))
+    size = sum(f.stat().st_size for f in (folder / "t").glob("*.parquet"))
+    monkeypatch.setattr(session, "DEALT_BYTES", size // 20)
+    dealt = session.spread(df)
+    assert dealt.rdd.getNumPartitions() in (20, 21)
+    assert rows(dealt) == rows(df)
+
+
 def test_job_folder_is_removed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_folder", lambda _: f"file://{tmp_path}")
     with session.job_folder(spark) as job:
