@@ -202,3 +202,16 @@ def test_files_of_one_name_in_two_folders_keep_their_order(spark, tmp_path):
         for n in (1, 5):
             ordered = lines.repartition(n).orderBy(*documents.SOURCE_ORDER).collect()
             assert [json.loads(r.body)["n"] for r in ordered] == [10, 11, 12, 20, 21, 22]
+
+
+def test_overflows_are_looked_for_once_and_in_numbers(spark, capsys):
+    uuid = "aaaaaaa3-e123-4e56-8e99-1e1234567890"
+    wide = "1" * 250 + "." + "2" * 309 + "e99"
+    bad = ['{"a":1e400}', '{"a": -1E+400}', '{"a":[1,2.5e0999]}', f'{{"a":{"9" * 310}}}', f'{{"a":{wide}}}', f'{{"f":"{uuid}","a":\n1e999}}']
+    good = [f'{{"file":"{uuid}.json"}}', '{"a":1e300}', '{"a":1e-400}', '{"a":"1e400 ,1e400"}', '{"a":"Infinity","b":"x, 2e999"}']
+    docs = spark.createDataFrame([(b,) for b in bad + good], "body STRING")
+    assert {r.body for r in documents.rejects(docs).collect()} == set(bad)
+    kept = documents.drop_malformed(docs)
+    assert {r.body for r in kept.collect()} == set(good)
+    kept.select(F.try_variant_get("doc", "$.file", "string")).explain()
+    assert capsys.readouterr().out.count("RLIKE") == 1
